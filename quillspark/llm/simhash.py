@@ -69,10 +69,10 @@ def link_bucket(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that join each connected part of these distinct values: a walk, each value once against those not yet reached."""
     left, edges = fps, []
     while len(left) > 1:
-        front, left = [left[0]], left[1:]
+        front, left = [left[0]], left[1:].copy()
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = np.bitwise_count((left ^ x).view(np.uint64)) <= radius  # of signed values it would count those of |x|
             if near.any():
                 reached = left[near]
                 left = left[~near]

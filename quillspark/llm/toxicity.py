@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +17,34 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import id_remainder, table
 
 #: Bounds of the sample that the classifier is fitted on; everything else covers all rows.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 4096
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 6000, 512
 THRESHOLD = 0.7
-STEM = 5
+#: Lengths of the beginnings of words that count.
+STEMS = (3, 4, 5, 6)
+#: Confirmed texts that must hold a feature before it is learnt from.
+LEAST = 3
+#: How many times as frequent a feature must be among confirmed texts as among all.
+LIFT = 3.0
+#: The least log-likelihood ratio of a feature: over the logarithm of the number of features that chance may favour.
+LEAST_GAIN = 5.0
 _WORD = re.compile(r"\w+")
 
 
 def features(text: str | None) -> set[str]:
-    """Distinct lower-cased words, and the first letters of longer ones marked '*'."""
-    words = set(_WORD.findall(text.lower())) if text else set()
-    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+    """Distinct lower-cased words, and beginnings that two or three longer words share or more ('begin*2', 'begin*3')."""
+    counts = Counter(_WORD.findall(text.lower())) if text else {}
+    found = set(counts)
+    for size in STEMS:
+        begun: dict[str, int] = {}
+        for w, n in counts.items():
+            if len(w) > size:
+                begun[w[:size]] = begun.get(w[:size], 0) + n
+        for stem, n in begun.items():
+            if n >= 2:
+                found.add(f"{stem}*2")
+            if n >= 3:
+                found.add(f"{stem}*3")
+    return found
 
 
 @dataclass(frozen=True)
@@ -32,14 +52,30 @@ class Model:
     weights: dict[str, float]
     bias: float
 
+    @cached_property
+    def stems(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Beginnings that have a weight, and their first letters."""
+        own = frozenset(f[:-2] for f in self.weights if f[-2:-1] == "*")
+        return own, frozenset(x[: STEMS[0]] for x in own)
+
     def score(self, text: str | None) -> float:
-        w = self.weights
-        f = self.bias + math.fsum(sorted(w[x] for x in features(text) if x in w))
+        own, heads = self.stems
+        counts = Counter(_WORD.findall(text.lower())) if text else {}
+        found, begun = list(self.weights.keys() & counts.keys()), {}
+        head = STEMS[0]
+        for w, n in counts.items():
+            if w[:head] in heads:
+                for size in STEMS:
+                    if len(w) > size and (stem := w[:size]) in own:
+                        begun[stem] = begun.get(stem, 0) + n
+        for stem, n in begun.items():
+            found += [f for k in (2, 3) if n >= k and (f := f"{stem}*{k}") in self.weights]
+        f = self.bias + math.fsum(self.weights[x] for x in found)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, f))))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), sigmoid loss.
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, rounds: int = 600, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), logistic loss.
 
     Rows are arrays of the indexes of their features. When the estimate of the negative part is below 0, a
     step is made against it, as the method asks.
@@ -57,10 +93,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: in
     for step in range(1, rounds + 1):
         fp = np.bincount(pa_, w[pf], len(positive)) + b
         fu = np.bincount(ua, w[uf], len(unlabelled)) + b
-        sp, su = sig(fp), sig(fu)  # the sigmoid loss of a negative; that of a positive is 1 less it
-        negative = su.sum() / n_u - prior * sp.sum() / n_p
-        dp, du = sp * (1 - sp) / n_p, su * (1 - su) / n_u
-        gp, gu = (-prior * dp - prior * dp, du) if negative >= 0 else (prior * dp, -du)
+        negative = np.logaddexp(0, fu).sum() / n_u - prior * np.logaddexp(0, fp).sum() / n_p
+        sp, su = prior * sig(fp) / n_p, sig(fu) / n_u
+        gp, gu = (np.full(len(positive), -prior / n_p), su) if negative >= 0 else (sp, -su)  # -prior * (1 - s) - prior * s
         grad = np.append(np.bincount(pf, gp[pa_], width) + np.bincount(uf, gu[ua], width) + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -92,14 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, held_in, id_col: str = "doc_id", t
     ids = spark.createDataFrame([(i, 1, 0) for i in positive] + [(i, 0, 1) for i in unlabelled], "i long, p int, u int").groupBy("i").agg(F.max("p").alias("p"), F.max("u").alias("u"))
     y = (F.col("p") + 2 * F.col("u")).alias("y")  # 1 positive, 2 unlabelled, 3 both
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", y, "t")
+    sample = sample.groupBy("t", "y").agg(F.min("i").alias("i")).select("i", "y", "t")  # copies of a text teach once
     rows = sample.mapInArrow(_feature_rows, "i long, y int, f array<string>").persist()  # a lost part is made again
     n_p, n_u = rows.agg(F.sum((F.col("y") % 2).cast("long")), F.sum((F.col("y") >= 2).cast("long"))).first()
     if not n_p or not n_u:
         rows.unpersist()
         return Model({}, -30.0)
     counted = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum((F.col("y") % 2).cast("long")).alias("p"), F.sum((F.col("y") >= 2).cast("long")).alias("u"))
-    more = F.col("p") / n_p * F.log((F.col("p") / n_p) / ((F.col("u") + 0.5) / (n_u + 1)))
-    vocabulary = [r["f"] for r in counted.filter("p >= 2").orderBy(F.abs(more).desc(), "f").limit(MAX_FEATURES).collect()]
+    p, u = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
+    gain = F.col("p") * F.log(p / u) + (n_p - F.col("p")) * F.log((1 - p + 1e-9) / (1 - u + 1e-9))  # log-likelihood ratio
+    told = counted.filter((F.col("p") >= LEAST) & (p >= LIFT * u) & (gain >= LEAST_GAIN))
+    vocabulary = [r["f"] for r in told.orderBy(gain.desc(), "f").limit(MAX_FEATURES).collect()]
     index = spark.createDataFrame([(f, k) for k, f in enumerate(vocabulary)], "f string, k int")
     pairs = rows.select("i", "y", F.explode("f").alias("f")).join(F.broadcast(index), "f").groupBy("i", "y").agg(F.collect_list("k").alias("k"))
     found = pairs.collect()  # at most the sample's rows by the vocabulary
