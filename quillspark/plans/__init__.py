@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillspark.plans import audits, corpus, retrieval
+
+QUERIES = retrieval.QUERIES | corpus.QUERIES | audits.QUERIES
+ORACLE_SQL = retrieval.SQL | corpus.SQL | audits.SQL
