@@ -78,11 +78,12 @@ def token_ngrams(tokens: Column | str, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
 
 
-def char_bigrams(text: Column | str) -> Column:
-    """distinct pairs of neighbouring characters of F2 without spaces; of one character, itself."""
-    t = F.replace(norm_for_match(text), F.lit(" "), F.lit(""))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
-    return F.when(F.length(t) >= 2, pairs).otherwise(F.array(t))
+def bigrams(normal: Column | str) -> Column:
+    """F7 of a column that holds F2 without spaces."""
+    t = _col(normal)
+    chars = F.split(t, "")
+    pairs = F.zip_with(F.slice(chars, 1, F.length(t) - 1), F.slice(chars, 2, F.length(t) - 1), lambda x, y: F.concat(x, y))
+    return F.when(F.length(t) >= 2, F.array_distinct(pairs)).otherwise(F.array(t))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
