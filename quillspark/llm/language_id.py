@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import by_size, id_remainder, table
 
 #: Bounds of the sample that is learnt from: rows a language, and characters a language taken from them in turn.
-MAX_ROWS, MAX_CHARS = 64, 40_000
+MAX_ROWS, MAX_CHARS = 64, 15_000
 #: Characters that get a symbol of their own, the most frequent of the sample; all others share one.
-MAX_SYMBOLS = 95
+MAX_SYMBOLS = 61
 #: Texts are parsed in blocks of this many characters; a phrase ends with its block.
 BLOCK = 1024
 #: Characters that are parsed side by side.
