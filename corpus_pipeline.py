@@ -24,7 +24,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256")
     own = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     return own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["text_sha256"] == kept["text_sha256"]), "left_semi").select(docs.columns)
 
