@@ -191,3 +191,90 @@ def schema_backfill(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> D
         value = F.lit(default).cast(kind)
         df = df.withColumn(c, value if c not in df.columns else F.coalesce(F.col(c), value))
     return df
+
+
+def evidence_drafts(hits: DataFrame) -> DataFrame:
+    """H2: hits with a place and a text become evidence; pages and other places go to columns of their own."""
+    fine = hits.filter(F.col("locator_kind").isin("page", "section", "block") & (F.trim(F.coalesce("page_label", F.lit(""))) != "") & (F.trim(F.coalesce("content", F.lit(""))) != ""))
+    is_page = F.col("locator_kind") == "page"
+    return fine.select("query_id", "source", "chunk_id", F.col("content").alias("excerpt"), F.when(is_page, F.col("page_label")).alias("page"), F.when(~is_page, F.col("page_label")).alias("section"), "locator_kind", "locator_prefix", F.create_map(F.lit("rank"), F.col("rank").cast("string"), F.lit("origin"), F.col("origin")).alias("provenance"))
+
+
+def search_attempts(outcomes: DataFrame, hits: DataFrame) -> DataFrame:
+    """H5: a row for each search with its gate and the number of hits."""
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    return outcomes.join(n, "query_id", "left").select(*outcomes.columns, F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def required_fields(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rules name -> condition that must hold; rows that break any, with the names."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in sorted(rules.items())]))
+    return rows.withColumn("violations", broken).filter(F.size("violations") > 0)
+
+
+def hypothesis_basis(hypotheses: DataFrame, links: DataFrame) -> DataFrame:
+    """hypotheses(id, status) whose status lacks confirmed links(id, relation, review_status) of its kind."""
+    confirmed = links.filter("review_status = 'CONFIRMED'").groupBy("id").agg(F.count_if(F.col("relation") == "SUPPORT").alias("s"), F.count_if(F.col("relation") == "CONTRADICT").alias("c"))
+    j = hypotheses.join(confirmed, "id", "left").na.fill(0, ["s", "c"])
+    return j.filter((F.col("status").isin("SUPPORTED", "PARTIALLY_SUPPORTED") & (F.col("s") == 0)) | (F.col("status").isin("WEAKENED", "REFUTED") & (F.col("c") == 0))).select("id", "status")
+
+
+def approval_effects(approvals: DataFrame, entities: DataFrame) -> DataFrame:
+    """Decided approvals(entity_type, entity_id, action, status) whose entity(entity_type, entity_id, status) isn't where it should be."""
+    # Target status by entity type and decision.
+    targets = {("experiment", "APPROVED"): "APPROVED", ("experiment", "REJECTED"): "CANCELLED", ("conclusion", "APPROVED"): "APPROVED", ("conclusion", "REJECTED"): "REJECTED", ("hypothesis", "APPROVED"): "TESTABLE"}
+    wanted = F.create_map(*[F.lit(x) for (a, b), c in targets.items() for x in (f"{a}:{b}", c)])
+    j = approvals.withColumn("expected", F.try_element_at(wanted, F.concat_ws(":", "entity_type", "status"))).withColumnRenamed("status", "decision").join(entities, ["entity_type", "entity_id"])
+    return j.filter(F.col("expected").isNotNull() & (F.col("expected") != F.col("status"))).select("entity_type", "entity_id", "action", "expected", "status")
+
+
+def proposal_source_check(proposals: DataFrame, relations: DataFrame) -> DataFrame:
+    """proposals(id, question, kind, sources): sources that no confirmed relation(question, relation, source) of the kind backs."""
+    asked = proposals.select("id", "question", F.col("kind").alias("relation"), F.explode("sources").alias("source"))
+    return asked.join(relations.filter("review_status = 'CONFIRMED'"), ["question", "relation", "source"], "left_anti").select("id", "source")
+
+
+def archive_scope(sets: dict[str, DataFrame], keys: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Keys (set, column, other set, its column): all references that lead nowhere: (set, column, value)."""
+    out = None
+    for name, column, other, key in keys:
+        rows = sets[name].filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value"))
+        lost = rows.join(sets[other].select(F.col(key).cast("string").alias("value")), "value", "left_anti").distinct().select(F.lit(name).alias("set"), F.lit(column).alias("column"), "value")
+        out = lost if out is None else out.unionByName(lost)
+    return out
+
+
+def research_report(hypotheses: DataFrame, evidence: DataFrame, conclusions: DataFrame) -> DataFrame:
+    """A section for each hypothesis(question, id, title, status): confirmed evidence(id, relation, statement, prefix, label) by relation, then approved conclusions(question, id, text)."""
+    line = F.concat(F.lit("- "), F.col("statement"), F.lit(" ("), F.col("prefix"), F.lit("."), F.col("label"), F.lit(")"))
+    by = evidence.filter("review_status = 'CONFIRMED'").groupBy("id").agg(*[F.array_join(F.sort_array(F.collect_list(F.when(F.col("relation") == r, line))), "\n").alias(r) for r in ("SUPPORT", "CONTRADICT", "LIMITATION")])
+    parts = [F.when(F.length(F.coalesce(r, F.lit(""))) > 0, F.concat(F.lit(f"### {r}\n"), F.col(r))) for r in ("SUPPORT", "CONTRADICT", "LIMITATION")]
+    sections = hypotheses.join(by, "id", "left").select("question", "id", F.concat_ws("\n", F.concat(F.lit("## "), F.col("title"), F.lit(" ["), F.col("status"), F.lit("]")), *parts).alias("s"))
+    body = sections.groupBy("question").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "s"))), lambda x: x["s"]), "\n").alias("body"))
+    done = conclusions.filter("status = 'APPROVED'").groupBy("question").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: F.concat(F.lit("- "), x["text"])), "\n").alias("done"))
+    return body.join(done, "question", "left").select("question", F.concat_ws("\n", "body", F.lit("## Conclusions"), F.coalesce("done", F.lit("(none approved)"))).alias("report"))
+
+
+def state_projection(questions: DataFrame, sets: dict[str, DataFrame], scope: str) -> DataFrame:
+    """Each question with its record sets as ordered arrays of structs."""
+    out = questions
+    for name, df in sorted(sets.items()):
+        out = out.join(df.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != scope]))).alias(name)), scope, "left")
+    return out
+
+
+def evidence_by_hypothesis(relations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """H36."""
+    return relations.join(evidence, "evidence_id")
+
+
+def experiment_detail(experiments: DataFrame, tested: DataFrame, runs: DataFrame) -> DataFrame:
+    """H37."""
+    h = tested.groupBy("experiment_id").agg(F.sort_array(F.collect_set("hypothesis_id")).alias("hypotheses"))
+    r = runs.groupBy("experiment_id").agg(F.sort_array(F.collect_list("run_id")).alias("runs"))
+    return experiments.join(h, "experiment_id", "left").join(r, "experiment_id", "left")
+
+
+def question_listing(questions: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The newest questions, and how many there are."""
+    return questions.orderBy(F.desc("updated_at"), "id").limit(limit), questions.count()

@@ -60,3 +60,14 @@ def read_runs(spark: SparkSession, path: str, kind: str) -> DataFrame:
         return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast(f"map<string,{kind}>")
 
     return rows.select("experiment_id", "run_id", F.col("seed").cast("int").alias("seed") if "seed" in rows.columns else F.lit(None).cast("int").alias("seed"), gather("config.", "string").alias("config"), gather("metrics.", "double").alias("metrics"), gather("environment.", "string").alias("environment"), F.filter(F.split("artifact_paths", ";"), lambda x: x != "").alias("artifact_paths"))
+
+
+def export_vectors(chunks: DataFrame, path: str) -> int:
+    """Write chunks under ids made from their own (UUID version 5 in form) and fail unless all arrive."""
+    h = F.sha1(F.concat(F.lit("chunk:"), F.col("chunk_id")).cast("binary"))
+    point = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    chunks.withColumn("point_id", point).write.mode("overwrite").parquet(path)
+    there, wanted = chunks.sparkSession.read.parquet(path).count(), chunks.count()
+    if there != wanted:
+        raise ValueError(f"{there} of {wanted} rows arrived")
+    return there

@@ -135,3 +135,39 @@ def test_runs_from_csv(spark, tmp_path):
     (tmp_path / "r.csv").write_text("experiment_id,run_id,seed,metrics.mAP,config.group,artifact_paths\ne,r,1,87.5,control,a;b\n")
     r = files.read_runs(spark, str(tmp_path / "r.csv"), "csv").first()
     assert (r.metrics, r.config, r.artifact_paths) == ({"mAP": 87.5}, {"group": "control"}, ["a", "b"])
+
+
+def test_messages(spark):
+    from quillspark.functions import messages as ms
+
+    df = spark.createDataFrame([('x {"b": {"a": "}"}} y', "see p.3 and p.3, 第 12 页")], "j string, a string")
+    r = df.select(ms.extract_json("j").alias("j"), ms.citation_extract("a").alias("c")).first()
+    assert r.j == '{"b": {"a": "}"}}' and [(c.page, c.hint) for c in r.c] == [(3, "see "), (12, "see p.3 and p.3, ")]
+    plan = spark.createDataFrame([([("q", "person search")],), ([],), ([("q", "行人")],), ([("q", " ")],)], "p array<struct<question:string,query:string>>")
+    assert [x[0] for x in plan.select(ms.plan_reject_reason(F.col("p"))).collect()] == ["", "no_sub_questions", "non_english_query", "blank_query"]
+
+
+def test_research_rules(spark):
+    h = spark.createDataFrame([("h1", "SUPPORTED"), ("h2", "REFUTED"), ("h3", "TESTABLE")], "id string, status string")
+    links = spark.createDataFrame([("h1", "SUPPORT", "CONFIRMED"), ("h2", "CONTRADICT", "PROPOSED")], "id string, relation string, review_status string")
+    assert rows(research.hypothesis_basis(h, links)) == [("h2", "REFUTED")]
+    a = spark.createDataFrame([("experiment", "e1", "RUN", "REJECTED"), ("conclusion", "c1", "OK", "APPROVED")], "entity_type string, entity_id string, action string, status string")
+    e = spark.createDataFrame([("experiment", "e1", "PLANNED"), ("conclusion", "c1", "APPROVED")], "entity_type string, entity_id string, status string")
+    assert rows(research.approval_effects(a, e)) == [("experiment", "e1", "RUN", "CANCELLED", "PLANNED")]
+    assert rows(research.required_fields(h, {"tested": F.col("status") != "TESTABLE"}).select("id", "violations")) == [("h3", ["tested"])]
+    sets = {"run": spark.createDataFrame([("r1", "e9")], "id string, experiment string"), "experiment": spark.createDataFrame([("e1",)], "id string")}
+    assert rows(research.archive_scope(sets, [("run", "experiment", "experiment", "id")])) == [("run", "experiment", "e9")]
+
+
+def test_report(spark):
+    h = spark.createDataFrame([("q", "h1", "First", "SUPPORTED")], "question string, id string, title string, status string")
+    ev_ = spark.createDataFrame([("h1", "SUPPORT", "it works", "p", "3", "CONFIRMED"), ("h1", "CONTRADICT", "no", "p", "4", "PROPOSED")], "id string, relation string, statement string, prefix string, label string, review_status string")
+    c = spark.createDataFrame([("q", "c1", "done", "APPROVED")], "question string, id string, text string, status string")
+    assert rows(research.research_report(h, ev_, c))[0][1] == "## First [SUPPORTED]\n### SUPPORT\n- it works (p.3)\n## Conclusions\n- done"
+
+
+def test_repeatability_and_export(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "item int, doc string, rank int")
+    b = spark.createDataFrame([(1, "x", 1), (1, "z", 2)], "item int, doc string, rank int")
+    assert rows(ev.run_repeatability(a, b)) == [(1, False, 0.5)] and rows(ev.run_repeatability(a, a)) == [(1, True, 1.0)]
+    assert files.export_vectors(spark.createDataFrame([("CH-1", [1.0])], "chunk_id string, embedding array<float>"), str(tmp_path / "v")) == 1
