@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,29 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def first_by_hash(df: DataFrame, limit: int, *hashed: str) -> list[Row]:
+    """The first `limit` rows of df in the order of a hash of the columns `hashed`, then of these columns.
+
+    A limit takes that many rows from every task. So only the rows of the lowest hashes are ordered, about four
+    times as many as asked for over all tasks; where repeated rows leave fewer than asked for, all rows are.
+    """
+    order, count = [F.xxhash64(*hashed), *hashed], df.count()
+    if count > 4 * limit:
+        low = df.filter(F.xxhash64(*hashed) < F.lit((4 * limit << 64) // count - (1 << 63)))
+        found = low.orderBy(*order).limit(limit).collect()
+        if len(found) == limit:
+            return found
+    return df.orderBy(*order).limit(limit).collect()
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, salt_from: list[str], salts: int) -> DataFrame:
     """Number the rows of each key from 0 without gaps, also when one key has most rows.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_remainder, table
+from quillspark.llm.common import first_by_hash, id_remainder, table
 
 #: Bounds of the sample that the classifier is fitted on; everything else covers all rows.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 6000, 512
@@ -119,11 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, held_in, id_col: str = "doc_id", t
     known = labels.filter(held_in & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     n, ones = known.agg(F.count(F.lit(1)), F.sum("y")).first()
     prior = min(0.9, max(0.005, (ones or 0) / n)) if n else 0.1
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    positive = [r[0] for r in known.filter("y = 1").select(id_col).orderBy(*order).limit(MAX_POSITIVE).collect()]
+    positive = [r[0] for r in first_by_hash(known.filter("y = 1").select(id_col), MAX_POSITIVE, id_col)]
     if not positive:
         return Model({}, -30.0)
-    unlabelled = [r[0] for r in docs.filter(held_in & F.col(id_col).isNotNull()).select(id_col).orderBy(*order).limit(MAX_UNLABELLED).collect()]
+    unlabelled = [r[0] for r in first_by_hash(docs.filter(held_in & F.col(id_col).isNotNull()).select(id_col), MAX_UNLABELLED, id_col)]
     ids = spark.createDataFrame([(i, 1, 0) for i in positive] + [(i, 0, 1) for i in unlabelled], "i long, p int, u int").groupBy("i").agg(F.max("p").alias("p"), F.max("u").alias("u"))
     y = (F.col("p") + 2 * F.col("u")).alias("y")  # 1 positive, 2 unlabelled, 3 both
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", y, "t")
