@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import first_by_hash, materialize, table
 
 #: Bound of the sample that lists, rotation and number of probes are fitted on; every vector is indexed.
 SAMPLE, MAX_LISTS, PROBE_QUERIES, PROBE_RECALL = 20_000, 1024, 200, 0.97
@@ -80,8 +80,8 @@ def adaptive_scan(queries: np.ndarray, vectors: np.ndarray, k: int, columns: int
         yield left
 
 
-def _decode(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
+def _decode(column: pa.ChunkedArray | list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), np.float64).reshape(-1, width)
 
 
 def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -108,8 +108,8 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     to_bytes = lambda it: (pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.asarray(x).tobytes() for x in b.column(2).to_pylist()], pa.binary())], ["rep", "ids", "v"]) for b in it)
     groups = materialize(groups.select("rep", "ids", "v").mapInArrow(to_bytes, "rep long, ids array<long>, v binary"), "vectors")
     n = groups.count()
-    sample = groups.select("rep", "v").orderBy(F.xxhash64("rep", "v")).limit(SAMPLE).toArrow()
-    centroids, probes = fit_lists(_decode(sample.column("v"), width), n, k)
+    sample = first_by_hash(groups.select("rep", "v"), SAMPLE, "rep", "v")
+    centroids, probes = fit_lists(_decode([r["v"] for r in sample], width), n, k)
     turn = rotation(width)
 
     def lists(probes_: int):
@@ -127,12 +127,14 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     queries = materialize(asked.select("v").distinct().mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([np.asarray(x).tobytes() for x in b.column(0).to_pylist()], pa.binary())], ["v"]) for b in it), "v binary").join(groups.select("rep", "v"), "v"), "queries")
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # MAX_LISTS rows at most
     probed = queries.select("rep", "v").mapInArrow(lists(probes), "rep long, v binary, lists array<int>").select("rep", "v", F.explode("lists").alias("list"))
-    n_queries = queries.count()
-    query_blocks = -(-n_queries // QUERY_BLOCK) or 1
-    blocks = F.create_map(*[x for key, size in sorted(sizes.items()) for x in (F.lit(key), F.lit(-(-size // BLOCK)))])
+    asking = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}
+    if not asking:
+        return spark.createDataFrame([], schema)
+    parts = lambda found, most: F.create_map(*[x for key, size in sorted(found.items()) for x in (F.lit(key), F.lit(-(-size // most)))])[F.col("list")]
+    blocks, query_blocks = parts(sizes, BLOCK), parts(asking, QUERY_BLOCK)
     block_of = lambda count: F.pmod(F.xxhash64("rep", "v"), count).cast("int")
-    left = probed.withColumn("qb", block_of(F.lit(query_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.coalesce(blocks[F.col("list")], F.lit(1)) - 1)))
-    right = listed.withColumn("cb", block_of(blocks[F.col("list")])).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    left = probed.withColumn("qb", block_of(query_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.coalesce(blocks, F.lit(1)) - 1)))
+    right = listed.withColumn("cb", block_of(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), query_blocks - 1)))  # lists that no query probes drop out
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
         out = ([], [], [], [])
