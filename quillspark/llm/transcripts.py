@@ -25,6 +25,8 @@ N_STATES = 2 * len(ROLES)
 CLOSE = "<|im_end|>\n"
 #: Positions of a transcript that make one block.
 BLOCK = 512
+#: Blocks whose matrices one task composes; longer transcripts are composed in several levels.
+FAN_OUT = 512
 #: Speaker markers at the start of a line, by the role that they suggest.
 MARKERS = {
     "user": ("user:", "human:", "q:", "### instruction:", "[user]", "<|user|>", "> "),
@@ -79,6 +81,64 @@ class Model:
         return path[::-1]
 
 
+def _product(ms: list[np.ndarray]) -> np.ndarray:
+    """The matrix of consecutive blocks together."""
+    found = ms[0]
+    for m in ms[1:]:
+        found = (found[:, :, None] + m[None, :N_STATES]).max(axis=1)
+    return found
+
+
+def _exits(ms: list[np.ndarray], entry: int, exit_: int | None) -> list[int]:
+    """The best state at the end of each of consecutive blocks, from entry (-1: the start) to exit_ (None: any)."""
+    v, back = ms[0][entry], []
+    for m in ms[1:]:
+        w = v[:, None] + m[:N_STATES]
+        back.append(w.argmax(axis=0))
+        v = w.max(axis=0)
+    found = [int(v.argmax()) if exit_ is None else exit_]
+    for p in reversed(back):
+        found.append(int(p[found[-1]]))
+    return found[::-1]
+
+
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (conv, part), rows in sorted_groups(batches, 2):
+        m = _product([np.array(x).reshape(N_STATES + 1, N_STATES) for x in rows.column("m").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([part], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["conv_id", "block", "m"])
+
+
+def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (conv, _), rows in sorted_groups(batches, 2):
+        ms = [np.array(x).reshape(N_STATES + 1, N_STATES) for x in rows.column("m").to_pylist()]
+        entry, exit_, last = (rows.column(c)[0].as_py() for c in ("entry", "exit", "last"))
+        exits, n = _exits(ms, entry, exit_), len(ms)
+        columns = [conv] * n, rows.column("block").to_pylist(), [entry, *exits[:-1]], exits, [last and k == n - 1 for k in range(n)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["conv_id", "block", "entry", "exit", "last"])
+
+
+def block_states(matrices: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """The states around each block on its transcript's best path: (conv_id, block, m) -> conv_id, block, entry, exit, last.
+
+    Runs of blocks are composed into a matrix each, and these again, until no transcript has more than `fan_out`;
+    then states are found from the top down. No task holds more than `fan_out` matrices of a transcript.
+    """
+
+    def sorted_parts(df: DataFrame) -> DataFrame:
+        return df.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "block")
+
+    part = F.floor(F.col("block") / fan_out).alias("part")
+    levels = [materialize(matrices, "matrices")]
+    while (levels[-1].groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0) > fan_out:
+        levels.append(materialize(sorted_parts(levels[-1].select("conv_id", part, "block", "m")).mapInArrow(_compose, "conv_id long, block long, m array<double>"), "matrices"))
+    found = levels[-1].select("conv_id", F.lit(0).cast("long").alias("part"), "block", "m", F.lit(-1).alias("entry"), F.lit(None).cast("int").alias("exit"), F.lit(True).alias("last"))
+    for below in [*reversed(levels[:-1]), None]:
+        states = materialize(sorted_parts(found).mapInArrow(_descend, "conv_id long, block long, entry int, exit int, last boolean"), "states")
+        if below is not None:
+            found = below.select("conv_id", part, "block", "m").join(states.withColumnRenamed("block", "part"), ["conv_id", "part"])
+    return states
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[str], list[tuple], pa.Table]]:
     """conv_id, block, lines, their features and all columns of each block of sorted lines."""
     for (conv, block), rows in sorted_groups(batches, 2):
@@ -142,22 +202,6 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
         for conv, block, _, features, _ in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([block], pa.int64()), pa.array([model.matrix(features).ravel().tolist()], pa.list_(pa.float64()))], ["conv_id", "block", "m"])
 
-    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv,), rows in sorted_groups(batches, 1):
-            ms = [np.array(m).reshape(N_STATES + 1, N_STATES) for m in rows.column("m").to_pylist()]
-            v, back = ms[0][N_STATES], []
-            for m in ms[1:]:
-                w = v[:, None] + m[:N_STATES]
-                back.append(w.argmax(axis=0))
-                v = w.max(axis=0)
-            exits = [int(v.argmax())]
-            for p in reversed(back):
-                exits.append(int(p[exits[-1]]))
-            exits.reverse()
-            n = len(ms)
-            columns = [conv] * n, rows.column("block").to_pylist(), [-1, *exits[:-1]], exits, [k == n - 1 for k in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["conv_id", "block", "entry", "exit", "last"])
-
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, block, texts, features, rows in _blocks(batches):
             entry, exit_, last = (rows.column(c)[0].as_py() for c in ("entry", "exit", "last"))
@@ -173,8 +217,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
 
     lines = lines.select("conv_id", "block", "pos", "tie", "line_no", "line")
     found = _arranged(lines).mapInArrow(matrices, "conv_id long, block long, m array<double>")
-    states = materialize(found.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(compose, "conv_id long, block long, entry int, exit int, last boolean"), "states")
-    return _arranged(lines.join(states, ["conv_id", "block"])).mapInArrow(turns, "conv_id long, block long, seq int, role string, continues boolean, n_lines long, turn string")
+    return _arranged(lines.join(block_states(found), ["conv_id", "block"])).mapInArrow(turns, "conv_id long, block long, seq int, role string, continues boolean, n_lines long, turn string")
 
 
 def transcript_lines(conversations: DataFrame) -> DataFrame:
