@@ -73,13 +73,17 @@ def plan(groups: DataFrame, shards: int) -> tuple[list[str], list[str]]:
     opened further only where a cut may fall, so what it holds is bounded however many groups there are.
     """
     total = groups.agg(F.sum("size")).first()[0] or 0
-    own, left, free = [], total, shards
-    for key, size in ((r["key"], r["size"]) for r in groups.orderBy(F.desc("size"), "key").limit(shards - 1).collect()):
-        if size * free < left or free == 1:
+    own, left, free, rest = [], total, shards, groups
+    while free > 1 and left:
+        large = rest.filter(F.col("size") * free >= left).orderBy(F.desc("size"), "key").collect()  # as many as `free` at most
+        for key, size in ((r["key"], r["size"]) for r in large):
+            if size * free < left or free == 1:
+                break
+            own.append(key)
+            left, free = left - size, free - 1
+        if not large:
             break
-        own.append(key)
-        left, free = left - size, free - 1
-    rest = groups.filter(~F.col("key").isin(own)) if own else groups
+        rest = groups.filter(~F.col("key").isin(own))
 
     def summary(digits: int, under: list[str] | None) -> dict[str, tuple[int, int]]:
         part = rest if under is None else rest.filter(F.substring("key", 1, digits - 1).isin(under))
