@@ -13,6 +13,8 @@ from quillspark.llm.common import by_size, id_remainder, table
 
 #: Bounds of the sample that is learnt from: rows a language, and characters a language taken from them in turn.
 MAX_ROWS, MAX_CHARS = 64, 15_000
+#: Parts of a language's rows whose first rows are found apart.
+PARTS = 256
 #: Characters that get a symbol of their own, the most frequent of the sample; all others share one.
 MAX_SYMBOLS = 61
 #: Texts are parsed in blocks of this many characters; a phrase ends with its block.
@@ -109,7 +111,10 @@ def fit(df: DataFrame, held_in, lang_col: str = "lang", id_col: str = "doc_id",
     """Automata from at most MAX_ROWS rows a language, the first by a hash of the id; None if no row has a language and a letter."""
     rows = df.filter(held_in & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     ids = rows.select("lang", "i", F.xxhash64("t").alias("h"))
-    pick = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i", "h"))).filter(F.col("n") <= MAX_ROWS)
+    order = [F.xxhash64("i"), F.col("i"), F.col("h")]
+    parts = ids.withColumn("part", F.pmod(F.col("h"), F.lit(PARTS)))  # of a language with most rows no task sees all
+    first = parts.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("n") <= MAX_ROWS)
+    pick = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("n") <= MAX_ROWS)
     chosen = rows.withColumn("h", F.xxhash64("t")).join(F.broadcast(pick.select("lang", "i", "h", "n")), ["lang", "i", "h"])
     share = F.expr(f"substring(lower(t), 1, {MAX_CHARS})").alias("t")  # what a language takes from one row, at most
     by: dict[str, list[tuple]] = {}
