@@ -13,12 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import materialize, table
 
 #: Bytes of distinct content that one task's table may hold before the bucket is split into spill files.
 TABLE_BYTES = 96 << 20
 #: Spill files made of one bucket; each level of the recursion uses the next four bits of the hash.
 FAN_OUT_BITS = 4
+#: A text that more than one in so many rows have is hot; there are fewer hot texts than this.
+HOT_SHARE = 1000
 _HEAD = struct.Struct("<QqqBI")  # hash, largest id, rows, whether an id is there, length of the content
 
 
@@ -150,9 +152,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     in group_size. A null id never wins over an id; a group without ids has keep_id null and keeps its rows.
     An empty table gives no rows; other columns of df are neither read nor returned.
     """
-    groups = duplicate_groups(df, id_col, text_col, table_bytes).filter("group_size > 1")
+    groups = materialize(duplicate_groups(df, id_col, text_col, table_bytes).filter("group_size > 1"), "groups")
+    is_hot = F.col("group_size") * HOT_SHARE > df.count()
+    hot = groups.filter(is_hot).select("text_sha256", F.struct("keep_id", "group_size").alias("hot"))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))
-    joined = docs.join(groups, "text_sha256", "left")  # a hot text's documents are split by adaptive skew handling
+    marked = docs.join(F.broadcast(hot), "text_sha256", "left")
+    spread = F.when(F.col("hot").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id")))  # rows of hot texts meet no one
+    cold = groups.filter(~is_hot).select(F.col("text_sha256").alias("key"), F.struct("keep_id", "group_size").alias("cold"))
+    found = F.coalesce("hot", "cold")
+    joined = marked.withColumn("key", spread).join(cold, "key", "left").select("doc_id", "text_sha256", found["keep_id"].alias("keep_id"), found["group_size"].alias("group_size"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
