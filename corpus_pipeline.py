@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language_id, packing, simhash, toxicity
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import free_name, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
     kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    own = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["text_sha256"] == kept["text_sha256"]), "left_semi").select(docs.columns)
+    key = free_name(docs, "text_sha256")
+    own = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
+    return own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[key] == kept["text_sha256"]), "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

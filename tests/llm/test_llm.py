@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import bpe_sql, exact_dedup, language_id, nearest, packing, sharding, simhash, token_count, toxicity, transcripts
+from quillspark.llm.common import first_by_hash
 
 LONG = "lorem ipsum dolor " * 20_000
 TEXTS = [None, "", "  ", "Hello world", "Hello world", "hello World it's 42", LONG, "été ñandú ß日本", "a" * 3000, "<|endoftext|> x", "word\ttab\nline  two"]
@@ -273,3 +274,45 @@ def test_pipeline_keeps_columns(spark, docs):
     assert c.drop_exact_copies(spark, docs, "").columns == docs.columns
     left = c.drop_near_copies(spark, docs, "")
     assert left.columns == docs.columns and left.filter("doc_id IS NULL").count() == 1
+
+
+def test_pipeline_leaves_clashing_columns_alone(spark):
+    import corpus_pipeline as c
+
+    names = ["text_sha256", "keep_id", "group_size", "key", "hot", "fp", "component_id", "root"]
+    df = spark.createDataFrame([(1, "a b", *names), (2, "a b", *names), (3, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (c.drop_exact_copies, c.drop_near_copies):
+        left = stage(spark, df, "")
+        assert left.columns == df.columns and all(tuple(r)[2:] == tuple(names) for r in left.collect()) and left.count() == 2
+
+
+def test_hot_texts_are_joined_apart(spark, monkeypatch):
+    df = spark.createDataFrame([(n, ("hot", f"own {n // 2}")[n % 3 > 0]) for n in range(60)] + [(None, "hot")], "doc_id long, text string")
+    plain = sorted(exact_dedup.exact_dedup(df).collect(), key=str)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 5)
+    assert sorted(exact_dedup.exact_dedup(df).collect(), key=str) == plain
+    assert {r.keep_id for r in plain if r.text_sha256 == hashlib.sha256(b"hot").hexdigest()} == {57}
+
+
+def test_first_by_hash_is_the_plain_order(spark):
+    from pyspark.sql import functions as F
+
+    for df in (spark.range(5000), spark.createDataFrame([(n % 3,) for n in range(900)], "id long")):
+        want = [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(40).collect()]
+        assert [r.id for r in first_by_hash(df, 40, "id")] == want
+    assert first_by_hash(spark.range(0), 40, "id") == []
+
+
+def test_states_of_blocks_do_not_depend_on_levels(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, b, rng.standard_normal((transcripts.N_STATES + 1) * transcripts.N_STATES).tolist()) for c, n in ((1, 1), (2, 3), (3, 29)) for b in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, block long, m array<double>")
+    want = sorted(map(tuple, transcripts.block_states(df).collect()))
+    assert len(want) == 33 and sorted(map(tuple, transcripts.block_states(df, 3).collect())) == want
+    assert transcripts.block_states(df.limit(0)).count() == 0
+
+
+def test_large_groups_get_shards_of_their_own(spark):
+    rows = [(f"{n:03x}", 10) for n in range(100)] + [("a" * 3, 5000), ("b" * 3, 900), ("c" * 3, 400)]
+    own, cuts = sharding.plan(spark.createDataFrame(rows, "key string, size long"), 8)
+    assert own == ["aaa", "bbb", "ccc"] and len(cuts) == 4
