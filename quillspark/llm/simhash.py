@@ -15,6 +15,10 @@ from quillspark.llm.components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK = 1 << 15
+#: Buckets of more distinct fingerprints than this are covered by masks once more.
+MAX_BUCKET = 4096
+#: As many large buckets are broadcast at most.
+MAX_BROADCAST = 10_000
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -53,6 +57,16 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
     return [sum(1 << i for i in range(bits) if (i % n + 1 & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
+def second_masks(mask: int, radius: int, bits: int = 64) -> list[int]:
+    """Masks that hold all of `mask` and cover the positions outside it, as covering_masks does for all positions.
+
+    Of these positions about a half stay out of each: for 64 bits and radius 4 at most 17, so that 2^17 distinct
+    values at most agree under one of them, however many rows there are.
+    """
+    free = [i for i in range(bits) if not mask >> i & 1]
+    return [mask | sum(1 << free[j] for j in range(len(free)) if m >> j & 1) for m in covering_masks(radius, len(free))]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -113,10 +127,22 @@ def _link(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int) -> DataFrame:
-    """fps(fp), distinct longs -> edges (a, b) whose connected parts are those of all pairs within `radius` bits."""
-    tables = F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, m in enumerate(covering_masks(radius))]))
+def near_links(fps: DataFrame, radius: int, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """fps(fp), distinct longs -> edges (a, b) whose connected parts are those of all pairs within `radius` bits.
+
+    Buckets of up to `max_bucket` values are linked as they are; larger ones are counted first (with partial
+    sums, so no task meets all their rows) and dealt by second masks, under which few values can agree.
+    """
+    spark, masks = fps.sparkSession, covering_masks(radius)
+    tables = F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, m in enumerate(masks)]))
     rows = fps.select("fp", tables.alias("t")).select("t.mask", "t.key", "fp")
+    large = materialize(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_bucket).select("mask", "key"), "buckets")
+    count = large.count()
+    if count:
+        large = F.broadcast(large) if count <= MAX_BROADCAST else large
+        second = [(n, len(masks) * (n + 1) + k, _signed(m2)) for n, m in enumerate(masks) for k, m2 in enumerate(second_masks(m, radius))]
+        again = rows.join(large, ["mask", "key"], "left_semi").join(F.broadcast(spark.createDataFrame(second, "mask int, mask2 int, bits long")), "mask")
+        rows = rows.join(large, ["mask", "key"], "left_anti").unionByName(again.select(F.col("mask2").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp"))
     return rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_link(radius), "a long, b long")
 
 

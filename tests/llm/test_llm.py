@@ -153,9 +153,14 @@ def test_bpe_round_trip(docs, none):
 def test_masks_cover_every_four_positions():
     masks = simhash.covering_masks(4)
     assert all(any(not any(m >> i & 1 for i in c) for m in masks) for c in itertools.combinations(range(64), 4))
+    for mask in masks[::10]:  # the second masks cover what the first leave out, and hold the first
+        second = simhash.second_masks(mask, 4)
+        assert all(m & mask == mask and 64 - m.bit_count() <= 17 for m in second)
+        free = [1 << i for i in range(64) if not mask >> i & 1]
+        assert all(any(not m & sum(c) for m in second) for c in itertools.combinations(free, 4))
 
 
-def test_simhash(docs, none, spark):
+def test_simhash(docs, none, spark, monkeypatch):
     got = by_id(simhash.simhash_groups(docs))
     assert got[0].fingerprint == "0" * 16 and got[0].component_id == got[1].component_id == got[2].component_id == 0
     assert got[4].component_id == 3 and got[None].component_id is None
@@ -164,20 +169,29 @@ def test_simhash(docs, none, spark):
     centres = rng.integers(0, 2**63, 20, dtype=np.int64)
     fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False)) for c in centres for _ in range(30)})
     fps += [-x - 1 for x in fps]
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 4)
-    found = {r.node: r.root for r in simhash.components(links).collect()}
-    root = {x: x for x in fps}
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    def parts(pairs):
+        root = {x: x for x in fps}
 
-    for a, b in itertools.combinations(fps, 2):
-        if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
             a, b = sorted((find(a), find(b)))
             root[b] = a
-    assert {x: found.get(x, x) for x in fps} == {x: find(x) for x in fps}
+        return {x: find(x) for x in fps}
+
+    expected = parts((a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
+    links = simhash.near_links(nodes, 4).collect()
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {x: found.get(x, x) for x in fps} == expected
+    for bound in (simhash.MAX_BROADCAST, 0):  # buckets of more than three dealt by second masks
+        monkeypatch.setattr(simhash, "MAX_BROADCAST", bound)
+        again = simhash.near_links(nodes, 4, 3).collect()
+        assert parts(again) == expected and all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4 for r in again)
 
 
 def test_nearest(spark):
