@@ -194,6 +194,20 @@ def test_simhash(docs, none, spark, monkeypatch):
         assert parts(again) == expected and all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4 for r in again)
 
 
+def test_first_rows_of_languages(spark):
+    """Against all rows in order: a large language, one of repeats only in its lowest hashes, a small one, and none."""
+    schema = "lang string, i long, h long"
+    many = [("xx", n, n % 7) for n in range(1500)] + [("zz", n, 1) for n in range(5)]
+    repeats = [("yy", n % 20, 3) for n in range(600)]
+    ids = spark.createDataFrame(many + repeats, schema)
+    got = sorted(map(tuple, language_id.first_rows(ids)))
+    ranked = {}
+    for r in ids.distinct().selectExpr("*", "xxhash64(i) AS x").orderBy("x", "i", "h").collect():
+        ranked.setdefault(r.lang, []).append((r.i, r.h))
+    assert got == sorted((lang, i, h, n + 1) for lang, rows in ranked.items() for n, (i, h) in enumerate(rows[: language_id.MAX_ROWS]))
+    assert language_id.first_rows(spark.createDataFrame([], schema)) == []
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
