@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from quillspark.llm.common import by_size, id_remainder, table
+from quillspark.llm.common import by_size, id_remainder, materialize, table
 
 #: Bounds of the sample that is learnt from: rows a language, and characters a language taken from them in turn.
 MAX_ROWS, MAX_CHARS = 64, 15_000
@@ -134,9 +134,9 @@ def first_rows(ids: DataFrame) -> list[Row]:
 
 
 def fit(df: DataFrame, held_in, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> CrossParser | None:
-    """Automata from at most MAX_ROWS rows a language, the first by a hash of the id; None if no row has a language and a letter."""
+    """Automata from at most MAX_ROWS different texts a language, the first by a hash of their least id; None if no row has a language and a letter."""
     rows = df.filter(held_in & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    ids = rows.select("lang", "i", F.xxhash64("t").alias("h"))
+    ids = materialize(rows.groupBy("lang", F.xxhash64("t").alias("h")).agg(F.min("i").alias("i")).select("lang", "i", "h"), "texts")  # copies of a text take one place
     pick = df.sparkSession.createDataFrame(first_rows(ids), StructType([*ids.schema, StructField("n", IntegerType())]))
     chosen = rows.withColumn("h", F.xxhash64("t")).join(F.broadcast(pick), ["lang", "i", "h"])
     share = F.expr(f"substring(lower(t), 1, {MAX_CHARS})")  # what a language takes from one row, at most

@@ -239,6 +239,16 @@ def test_language(spark, docs, none):
     assert language_id.identify(none).count() == 0 and language_id.identify(docs).count() == docs.count()
 
 
+def test_copies_under_many_ids_take_one_place_of_a_language(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    found, plain = [], language_id.first_rows
+    monkeypatch.setattr(language_id, "first_rows", lambda ids: found.extend(rows := plain(ids)) or rows)
+    rows = [(n, "copy of one text", "en") for n in range(3000)] + [(5000 + n, f"text {n}", "en") for n in range(100)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(found) == len({r["h"] for r in found}) == language_id.MAX_ROWS
+
+
 def test_phrases_are_those_of_a_greedy_parse():
     code = {"a": 2, "b": 3, "c": 4}
     parser = language_id.CrossParser("abc", {"x": language_id.suffix_automaton([code[c] for c in "abcab"], 5)})
