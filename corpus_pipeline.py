@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language_id, packing, simhash, toxicity
@@ -22,19 +22,33 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return language_id.filter_texts(docs, parser)
 
 
+def with_row_key(docs: DataFrame, **more: Column) -> tuple[DataFrame, str, list[str]]:
+    """docs with a number of its own for each row and the columns `more`, written so that it stays; their names."""
+    key = free_name(docs, "row_key")
+    out, names = docs.withColumn(key, F.monotonically_increasing_id()), []
+    for name, column in more.items():
+        names.append(free_name(out, name))
+        out = out.withColumn(names[-1], column)
+    return materialize(out, "rows"), key, names
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    key = free_name(docs, "text_sha256")
-    own = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
-    return own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[key] == kept["text_sha256"]), "left_semi").select(docs.columns)
+    """Of equal texts one row stays: the one with the largest doc_id, any one of rows that repeat it; one without an id only where none has one."""
+    rows, key, (sha,) = with_row_key(docs, sha=F.sha2(F.coalesce("text", F.lit("")), 256))
+    groups = exact_dedup.duplicate_groups(rows)
+    firsts = rows.groupBy(F.col("doc_id").cast("long").alias("id"), F.col(sha).alias("text_sha")).agg(F.min(key).alias(key))  # repeats fold before they meet
+    kept = firsts.join(groups, (firsts["text_sha"] == groups["text_sha256"]) & firsts["id"].eqNullSafe(groups["keep_id"])).select(key)
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; documents without an id stay."""
-    groups = simhash.simhash_groups(docs)
-    dropped = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies one row stays: the one with the smallest doc_id, one without an id only where none has one."""
+    rows, key, _ = with_row_key(docs)
+    groups = simhash.simhash_groups(rows, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    ids = rows.select(key, F.col("doc_id").cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(key))
+    kept = groups.join(ids, key).groupBy("component_id").agg(F.min(order)[key].alias(key)).select(key)
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

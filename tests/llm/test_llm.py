@@ -324,6 +324,22 @@ def test_pipeline_leaves_clashing_columns_alone(spark):
         assert left.columns == df.columns and all(tuple(r)[2:] == tuple(names) for r in left.collect()) and left.count() == 2
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Rows that repeat id and text, groups without ids, and one id with a near copy and with another text."""
+    import corpus_pipeline as c
+
+    base = " ".join(f"word{n}" for n in range(400))
+    near, other = base.replace("word7 ", "wrod7 "), " ".join(f"thing{n * n}" for n in range(300))
+    assert (simhash.fingerprint(base) ^ simhash.fingerprint(near)).bit_count() <= 4 < (simhash.fingerprint(base) ^ simhash.fingerprint(other)).bit_count()
+    schema = "doc_id long, text string"
+    rows = [(1, "a b c")] * 3 + [(2, "a b c"), (2, "a b c"), (None, "a b c")] + [(None, "no one")] * 4 + [(3, None), (3, None), (None, "")]
+    left = c.drop_exact_copies(spark, spark.createDataFrame(rows, schema), "")
+    assert sorted(map(tuple, left.collect()), key=str) == [(2, "a b c"), (3, None), (None, "no one")]
+    rows = [(5, base), (5, base), (6, near), (6, other), (None, near), (None, "no one")] + [(None, "no one")] * 3
+    left = c.drop_near_copies(spark, spark.createDataFrame(rows, schema), "")
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(5, base), (6, other), (None, "no one")], key=str)
+
+
 def test_hot_texts_are_joined_apart(spark, monkeypatch):
     df = spark.createDataFrame([(n, ("hot", f"own {n // 2}")[n % 3 > 0]) for n in range(60)] + [(None, "hot")], "doc_id long, text string")
     plain = sorted(exact_dedup.exact_dedup(df).collect(), key=str)
