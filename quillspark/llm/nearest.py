@@ -67,7 +67,9 @@ def adaptive_scan(queries: np.ndarray, vectors: np.ndarray, k: int, columns: int
             yield np.arange(len(vectors))
             continue
         probe = np.argpartition(partial, 4 * k - 1)[: 4 * k]
-        bound = np.partition(((vectors[probe] - q) ** 2).sum(axis=1), k - 1)[k - 1] * (1 + 1e-9) + 1e-12
+        known = ((vectors[probe] - q) ** 2).sum(axis=1)
+        sure = probe[np.argpartition(known, k - 1)[:k]]
+        bound = known[np.argpartition(known, k - 1)[k - 1]] * (1 + 1e-9) + 1e-12
         left, d = None, columns
         for n in range(1, len(edges)):
             keep = partial * (width / d) <= bound * (1 + epsilon / np.sqrt(d)) ** 2 if d < width else partial <= bound
@@ -77,7 +79,7 @@ def adaptive_scan(queries: np.ndarray, vectors: np.ndarray, k: int, columns: int
             a, b = edges[n], edges[n + 1]
             diff = vectors[left, a:b] - q[a:b]
             partial, d = partial + (diff * diff).sum(axis=1), b
-        yield left
+        yield np.union1d(left, sure)  # k at least
 
 
 def _decode(column: pa.ChunkedArray | list[bytes], width: int) -> np.ndarray:
@@ -112,13 +114,17 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     centroids, probes = fit_lists(_decode([r["v"] for r in sample], width), n, k)
     turn = rotation(width)
 
-    def lists(probes_: int):
+    def lists(probes_: int, held: np.ndarray | None = None):
+        """The nearest `probes_` lists of each vector; if `held`, their sizes, is given, more until k + 1 vectors are in them."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     sims = _unit(_decode(b.column(1), width)) @ centroids.T
-                    best = np.argsort(-sims, axis=1, kind="stable")[:, :probes_].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.tolist(), pa.list_(pa.int32()))], ["rep", "v", "lists"])
+                    best = np.argsort(-sims, axis=1, kind="stable").astype(np.int32)
+                    enough = np.full(len(best), probes_) if held is None else np.maximum(probes_, (np.cumsum(held[best], axis=1) <= k).sum(axis=1) + 1)
+                    found = [row[:n].tolist() for row, n in zip(best, enough.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["rep", "v", "lists"])
 
         return run
 
@@ -126,7 +132,8 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     listed = materialize(groups.select("rep", "v").mapInArrow(lists(1), "rep long, v binary, lists array<int>").select("rep", "v", F.col("lists")[0].alias("list")), "lists")
     queries = materialize(asked.select("v").distinct().mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([np.asarray(x).tobytes() for x in b.column(0).to_pylist()], pa.binary())], ["v"]) for b in it), "v binary").join(groups.select("rep", "v"), "v"), "queries")
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # MAX_LISTS rows at most
-    probed = queries.select("rep", "v").mapInArrow(lists(probes), "rep long, v binary, lists array<int>").select("rep", "v", F.explode("lists").alias("list"))
+    held = np.array([sizes.get(n, 0) for n in range(len(centroids))], np.int64)
+    probed = queries.select("rep", "v").mapInArrow(lists(probes, held), "rep long, v binary, lists array<int>").select("rep", "v", F.explode("lists").alias("list"))
     asking = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}
     if not asking:
         return spark.createDataFrame([], schema)

@@ -228,6 +228,14 @@ def test_nearest(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_finds_k_from_small_lists(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((3, 32)), 667, axis=0)[:2000] + 0.01 * rng.standard_normal((2000, 32))
+    x[::50] = rng.standard_normal((40, 32))  # outliers
+    got = nearest.nearest(spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<double>"), every=1)
+    assert {r["count"] for r in got.groupBy("query_id").count().collect()} == {5} and got.select("query_id").distinct().count() == 2000
+
+
 def test_language(spark, docs, none):
     words = {"en": "the of and to in is was that for it with".split(), "de": "der die und das nicht ein ist mit von zu".split()}
     rng = np.random.default_rng(1)
