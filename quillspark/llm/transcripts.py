@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, sorted_groups, table
@@ -23,7 +23,7 @@ ROLES = ("assistant", "system", "user")
 #: States: each role beginning a turn, then each role inside one.
 N_STATES = 2 * len(ROLES)
 CLOSE = "<|im_end|>\n"
-#: Positions of a transcript that make one block.
+#: Lines of a transcript that make one block.
 BLOCK = 512
 #: Blocks whose matrices one task composes; longer transcripts are composed in several levels.
 FAN_OUT = 512
@@ -147,11 +147,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[
 
 
 def _arranged(lines: DataFrame) -> DataFrame:
-    return lines.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "pos", "tie", "line_no")
+    return lines.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "n")
 
 
 def fit(lines: DataFrame) -> Model:
-    """Maximum likelihood with add-one smoothing from all lines with a true role: lines(conv_id, block, pos, tie, line_no, line, role); transcripts begin in block 0."""
+    """Maximum likelihood with add-one smoothing from all lines with a true role: lines(conv_id, block, n, line_no, line, role); transcripts begin in block 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int, int], int] = {}
@@ -179,6 +179,11 @@ def fit(lines: DataFrame) -> Model:
             start[r["b"]] += r["n"]
         else:
             step[r["a"], r["b"]] += r["n"]
+    state = F.expr("CASE role " + " ".join(f"WHEN '{r}' THEN {k}" for k, r in enumerate(ROLES)) + f" END + IF(line_no > 0, {len(ROLES)}, 0)")
+    ends = lines.filter(F.col("n") % BLOCK == BLOCK - 1).select("conv_id", (F.col("block") + 1).alias("block"), state.alias("a"))
+    begins = lines.filter((F.col("n") % BLOCK == 0) & (F.col("block") > 0)).select("conv_id", "block", state.alias("b"))
+    for r in ends.join(begins, ["conv_id", "block"]).dropna().groupBy("a", "b").count().collect():  # from one block to the next
+        step[r["a"], r["b"]] += r["count"]
     never = -1e6  # a line inside a turn follows only a line of the same role's turn
     start, step = np.log(start / start.sum()), np.log(step / step.sum(axis=1, keepdims=True))
     n = len(ROLES)
@@ -191,7 +196,7 @@ def fit(lines: DataFrame) -> Model:
 
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """Turns of transcripts given as lines(conv_id, block, pos, tie, line_no, line): conv_id, block, seq, role, continues, n_lines, turn.
+    """Turns of transcripts given as lines(conv_id, block, n, line_no, line): conv_id, block, seq, role, continues, n_lines, turn.
 
     `turn` is canonical: <|im_start|>role, the lines without markers, <|im_end|>. Of a turn that goes on in a
     later block each block holds its part (`continues`), and the block after a turn's end closes it; the parts
@@ -215,7 +220,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
                 out.append((conv, block, seq, role, continues, b - a, head + "\n".join(body) + "\n" + CLOSE * (b < len(states) or last)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.string()), strict=True)], ["conv_id", "block", "seq", "role", "continues", "n_lines", "turn"])
 
-    lines = lines.select("conv_id", "block", "pos", "tie", "line_no", "line")
+    lines = lines.select("conv_id", "block", "n", "line_no", "line")
     found = _arranged(lines).mapInArrow(matrices, "conv_id long, block long, m array<double>")
     return _arranged(lines.join(block_states(found), ["conv_id", "block"])).mapInArrow(turns, "conv_id long, block long, seq int, role string, continues boolean, n_lines long, turn string")
 
@@ -233,14 +238,33 @@ def transcript_lines(conversations: DataFrame) -> DataFrame:
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
     text = F.concat(F.when(bare | F.col("role").isNull(), "").otherwise(F.concat(marker, F.lit(" "))), F.coalesce("text", F.lit("")))
     pos = F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    return conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-1)).alias("conv_id"), F.floor(pos / BLOCK).alias("block"), pos.alias("pos"), F.xxhash64("role", "text").alias("tie"), "role", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    turns = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-1)).alias("conv_id"), pos.alias("pos"), F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("copy"), "role", text.alias("text"))
+    return numbered(turns.select("conv_id", "pos", "tie", "copy", "role", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """conv_id, block, n, pos, line_no, line, role of lines(conv_id, pos, tie, copy, line_no, line, role): each line's place n in its transcript and its block.
+
+    Lines are split by ranges of (conv_id, pos, tie, copy, line_no), so that a transcript of any length lies in as
+    many parts as it needs, also where all its turns have one number; places within parts move by the lines before.
+    """
+    order = ["conv_id", "pos", "tie", "copy", "line_no"]
+    split = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(split.select("conv_id", F.monotonically_increasing_id().alias("at"), "pos", "line_no", "line", "role"), "lines")  # part << 33 | place in it
+    part = F.shiftright("at", 33).alias("part")
+    parts = placed.groupBy("conv_id", part).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = parts.select("conv_id", "part", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("move"))
+    n = (F.col("at") + F.col("move")).alias("n")
+    found = placed.withColumn("part", F.shiftright("at", 33)).join(moved, ["conv_id", "part"]).select("conv_id", n, "pos", "line_no", "line", "role")
+    return materialize(found.select("conv_id", F.floor(F.col("n") / BLOCK).alias("block"), "n", "pos", "line_no", "line", "role"), "numbered")
 
 
 def recover(conversations: DataFrame) -> DataFrame:
     """Raw transcripts of all conversations, their roles recovered: parse()'s columns and held_out (crc32 of the id mod 3 is 1).
 
     Roles are learnt only where the conversation isn't held out, and only lines and their order are read in
-    decoding. Turns that repeat a number come in the order of a hash. An empty table gives no rows.
+    decoding. Turns that repeat a number come in the order of a hash, each with its lines together. An empty table gives no rows.
     """
     lines = transcript_lines(conversations)
     held = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(3)) == 1

@@ -300,6 +300,18 @@ def test_transcripts(spark):
     assert right >= 20 and transcripts.recover(df.limit(0)).count() == 0
 
 
+def test_no_block_holds_more_lines_than_it_may(spark):
+    """Rows without a conversation or a turn number, and a single turn of many lines."""
+    rows = [(None, None, "user", "same\ntext")] * 900 + [(None, None, "user", f"text {n}") for n in range(900)] + [(5, 1, "user", "\n".join(f"line {n}" for n in range(2000))), (5, 0, "system", "first")]
+    lines = transcripts.transcript_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert lines.groupBy("conv_id", "block").count().agg({"count": "max"}).first()[0] == transcripts.BLOCK
+    for conv, size in ((-1, 2700), (5, 2001)):
+        mine = lines.filter(lines.conv_id == conv).orderBy("n").collect()
+        assert [r["n"] for r in mine] == list(range(size)) and all(r.block == r["n"] // transcripts.BLOCK for r in mine)
+        assert all(b.line_no in (0, a.line_no + 1) for a, b in zip(mine, mine[1:], strict=False))
+    assert mine[0].line.endswith("first") and [r.line for r in mine[2:]] == [f"line {n}" for n in range(1, 2000)]
+
+
 def test_blocks_decode_as_the_whole(spark):
     df = spark.createDataFrame([(1, n, "user" if n % 3 else "assistant", f"Text {n}") for n in range(60)], "conv_id long, turn long, role string, text string")
     lines = transcripts.transcript_lines(df)
