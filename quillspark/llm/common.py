@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -12,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -28,6 +33,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What an operator keeps in a Python worker from task to task: its name and itself; see kept().
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """make(), made once in a Python worker for all tasks in turn that ask for `name`; a task that asks for another lets go of it.
+
+    Workers are used again for later stages, so what one stage has remembered would otherwise stay beside
+    what the next ones need.
+    """
+    if name not in _kept:
+        _kept.clear()
+        release_memory()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release_memory() -> None:
+    """Give back to the system what this process no longer uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def trimmed(run: Callable, keep: str | None = None) -> Callable:
+    """`run` for mapInArrow, which at the start of a task lets go of what other operators kept, and at its end of unused memory."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in _kept if n != keep]:
+            del _kept[name]
+        yield from run(batches)
+        release_memory()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
