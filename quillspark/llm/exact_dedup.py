@@ -13,10 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import materialize, table, trimmed
 
 #: Bytes of distinct content that one task's table may hold before the bucket is split into spill files.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 32 << 20
 #: Spill files made of one bucket; each level of the recursion uses the next four bits of the hash.
 FAN_OUT_BITS = 4
 #: A text that more than one in so many rows have is hot; there are fewer hot texts than this.
@@ -111,7 +111,7 @@ def _local_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             content = text or b""
             held.add(xxhash.xxh3_64_intdigest(content), content, doc_id, 1)
-            if held.bytes > TABLE_BYTES // 4:
+            if held.bytes > TABLE_BYTES // 2:
                 yield out()
                 held = ContentTable()
     if held.rows:
@@ -141,8 +141,8 @@ def _merged_groups(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Itera
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per distinct text: text_sha256, keep_id (largest id), group_size."""
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    partial = rows.mapInArrow(_local_groups, "h long, content binary, largest long, n long")
-    return partial.repartition("h").mapInArrow(lambda it: _merged_groups(it, table_bytes), "text_sha256 string, keep_id long, group_size long")
+    partial = rows.mapInArrow(trimmed(_local_groups), "h long, content binary, largest long, n long")
+    return partial.repartition("h").mapInArrow(trimmed(lambda it: _merged_groups(it, table_bytes)), "text_sha256 string, keep_id long, group_size long")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:

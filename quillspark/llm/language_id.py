@@ -17,7 +17,7 @@ from quillspark.llm.common import by_size, id_remainder, materialize, table, tri
 
 #: Bounds of the sample that is learnt from: texts a language, characters a language, and characters of all
 #: languages together, which they share evenly; so the model has a bound that doesn't depend on their number.
-MAX_ROWS, MAX_CHARS, ALL_CHARS = 128, 40_000, 1_600_000
+MAX_ROWS, MAX_CHARS, ALL_CHARS = 64, 40_000, 1_600_000
 #: The least that a text gives, if it is that long.
 LEAST_SLICE = 200
 #: Parts of a language's rows whose first rows are found apart.

@@ -8,7 +8,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, number_rows, table
+from quillspark.llm.common import kept, materialize, number_rows, table, trimmed
 
 CAPACITY = 2048
 SALTS = 64
-#: Words whose ids a task remembers: two generations of so many; the older goes first.
-REMEMBERED = 200_000
+#: Bytes of ids that a task remembers, with their parts of texts: two generations of so many; the older goes first.
+REMEMBERED = 40 << 20
 
 
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
@@ -45,8 +44,9 @@ class WordIds:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = end_id.to_bytes(4, "little")
-        self.parts: list[dict[str, bytes]] = [{}, {}]
-        self.words: list[dict[str, bytes]] = [{}, {}]
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,53 +63,41 @@ class WordIds:
                 out += [i.tobytes() for i in self._ids(group)]
         return out
 
-    @staticmethod
-    def _recall(kept: list[dict[str, bytes]], wanted: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        (new, old), found, missing = kept, {}, []
-        for w in wanted:
-            if (x := new.get(w)) is None and (x := old.get(w)) is None:
-                missing.append(w)
-            else:
-                found[w] = x
-        return found, missing
-
-    @staticmethod
-    def _keep(kept: list[dict[str, bytes]], found: dict[str, bytes]) -> None:
-        if len(kept[0]) > REMEMBERED:
-            kept[:] = {}, kept[0]
-        kept[0].update(found)
-
-    def known(self, parts: set[str]) -> dict[str, bytes]:
-        found, missing = self._recall(self.parts, parts)
-        simple = {p: m.groups() for p in missing if (m := _SIMPLE(p))}
-        lowered = {p: a.lower() for p, (a, _) in simple.items()}
-        words, unseen = self._recall(self.words, {*lowered.values(), *(b for _, b in simple.values() if b)})
-        words.update(zip(unseen, self._encode_words(unseen), strict=True))
-        self._keep(self.words, words)
-        for p, (_, marks) in simple.items():
-            found[p] = words[lowered[p]] + words[marks] if marks else words[lowered[p]]
+    def _remember(self, found: dict[str, bytes]) -> None:
+        self.memo.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + 180 * len(found)  # 180: of the objects
+
+    def _missing(self, wanted: set[str]) -> list[str]:
+        """Those that neither generation holds; those of the older one come into the newer."""
+        wanted, old = wanted.difference(self.memo), self.old
+        self._remember({p: old[p] for p in wanted.intersection(old)})
+        return list(wanted.difference(old))
+
+    def learn(self, parts: set[str]) -> None:
+        """See to it that the ids of all these parts are remembered."""
+        if self.held > REMEMBERED:
+            self.memo, self.old, self.held = {}, self.memo, 0
+        missing = self._missing(parts)
+        memo, simple = self.memo, {p: m.groups() for p in missing if (m := _SIMPLE(p))}
+        words = {p: a.lower() for p, (a, _) in simple.items()}
+        unseen = self._missing({*words.values(), *(b for _, b in simple.values() if b)})
+        self._remember(dict(zip(unseen, self._encode_words(unseen), strict=True)))
+        self._remember({p: memo[words[p]] + memo[marks] if marks else memo[words[p]] for p, (_, marks) in simple.items()})
         rest = [p for p in missing if p not in simple]
-        found.update((p, i.tobytes()) for p, i in zip(rest, self._ids(rest), strict=True))
-        self._keep(self.parts, found)
-        return found
+        self._remember(dict(zip(rest, (i.tobytes() for i in self._ids(rest)), strict=True)))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 512):
             parts = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 512]]
-            get = self.known(set().union(*parts)).__getitem__
+            self.learn(set().union(*parts))
+            get = self.memo.__getitem__
             for p in parts:
                 yield b"".join(map(get, p)) + self.end
 
 
-@lru_cache(maxsize=1)
-def _coder(path: str) -> WordIds:
-    """One for all tasks of a Python worker, so that what it remembers serves them all."""
-    return WordIds(path)
-
-
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, step = _coder(path), 4 * capacity
+        coder, step = kept(f"packing {path}", lambda: WordIds(path)), 4 * capacity
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, data in zip(ids, coder.encode(batch.column(1).to_pylist()), strict=True):
@@ -125,7 +113,7 @@ def _pieces(path: str, capacity: int):
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` ids of each row's text and its end id: doc_id, piece, start, length, ids_crc32."""
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(_pieces(tokenizer_path, capacity), f"packing {tokenizer_path}"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass(frozen=True)

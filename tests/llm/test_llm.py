@@ -257,19 +257,45 @@ def test_copies_under_many_ids_take_one_place_of_a_language(spark, monkeypatch):
     assert len(found) == len({r["h"] for r in found}) == language_id.MAX_ROWS
 
 
-def test_phrases_are_those_of_a_greedy_parse():
-    code = {"a": 2, "b": 3, "c": 4}
-    parser = language_id.CrossParser("abc", {"x": language_id.suffix_automaton([code[c] for c in "abcab"], 5)})
+def greedy_phrases(text, document):
+    n = at = 0
+    while at < len(document):
+        k = 1
+        while at + k < len(document) and document[at : at + k + 1] in text:
+            k += 1
+        at, n = at + k, n + 1
+    return n
+
+
+def test_phrases_are_those_of_a_greedy_parse(monkeypatch):
+    """Also over the edges of blocks, where the guess of a block's first state is wrong, and for unknown characters."""
+    parser = language_id.CrossParser({"x": "abcab"})
+    for t in ("abcab", "bb", "cabcab", "aabbcc", "zabz", "zzabza", "", "abc" * 9):
+        assert parser.phrases([t])[0, 0] == greedy_phrases("abcab", t), t
+    rng = np.random.default_rng(0)
+    learnt = {"x": "".join(rng.choice(list("abc "), 3000)), "y": "ab" * 500, "z": "".join(map(chr, rng.integers(0x4E00, 0x9000, 2000)))}
+    texts = ["".join(rng.choice(list("abcd "), n)) for n in (1, 7, 31, 32, 33, 400)] + ["ab" * 200, "a" * 300, learnt["z"][100:300] + "漢字" * 20, ""]
+    parser = language_id.CrossParser(learnt)
+    for block, before in ((4096, 256), (32, 8), (16, 1)):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        monkeypatch.setattr(language_id, "BEFORE", before)
+        assert parser.phrases(texts).tolist() == [[greedy_phrases(learnt[k], t) for k in "xyz"] for t in texts]
+
+
+def test_ten_scripts_are_told_apart():
+    """Every character of the sample has a symbol, however many scripts there are; other scripts are foreign."""
+    starts = {"latin": 0x61, "greek": 0x3B1, "cyrillic": 0x430, "hebrew": 0x5D0, "arabic": 0x628, "devanagari": 0x915, "thai": 0xE01, "georgian": 0x10D0, "hangul": 0xAC00, "han": 0x4E00}
+    rng = np.random.default_rng(1)
 
-    def greedy(t):
-        n = 0
-        while t:
-            k = max([m for m in range(1, len(t) + 1) if t[:m] in "abcab"], default=1)
-            t, n = t[k:], n + 1
-        return n
+    def text(script, n):
+        words = ["".join(chr(starts[script] + k) for k in np.random.default_rng(w).integers(0, 300 if script in ("han", "hangul") else 20, 4)) for w in rng.zipf(1.4, n) % 500]
+        return " ".join(words)
 
-    for t in ("abcab", "bb", "cabcab", "aabbcc", "zabz", "abc" * 9):
-        assert round(parser.phrases([t])[0, 0] * len(t)) == greedy(t), t
+    parser = language_id.CrossParser({s: text(s, 2000) for s in starts})
+    found = language_id.languages(parser, [text(s, 30) for s in starts] + ["ⴰⴱⴲⴳⴴ ⴵⴶⴷⴸ " * 5, "a", "1 2"])
+    assert [x[0] for x in found[:10]] == list(starts) and all(x[2] for x in found[:10])
+    assert not found[10][2] and found[11][2] and found[12] == ("und", 0.0, False)
+    assert sum(m.owner.nbytes + m.to.nbytes for m in parser.machines) < 60 * sum(m.chars for m in parser.machines)
 
 
 def test_toxicity(spark, docs, none):
@@ -326,6 +352,29 @@ def test_blocks_decode_as_the_whole(spark):
     assert model.decode(a, -1, middle) + model.decode(b, middle, last) == whole
 
 
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """Toxic, foreign and copied rows go, the rest is packed; nulls, empties, repeats and clashing names pass through all stages."""
+    import corpus_pipeline as c
+
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(n, " ".join([*rng.choice(words, 60), *(["nasty", "vile"] * (n % 6 == 0))]), "en", "k") for n in range(300)]
+    rows += [(900, None, "en", "k"), (901, "", None, "k"), (902, "漢字仮名交文" * 9, None, "k"), (903, rows[1][1], "en", "k"), (1, rows[1][1], "en", "k"), (None, rows[2][1], None, None), (None, "w1 w2 w3 another", "en", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row_key string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, int(n % 6 == 0)) for n in range(300)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = c.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows if r[0] is None or r[0] >= 300 or r[0] % 6}
+    lettered = c.drop_unknown_language(spark, docs, str(tmp_path))
+    assert lettered.columns == docs.columns and {r[0] for r in rows} - {r.doc_id for r in lettered.collect()} == {900, 901, 902}
+    assert c.drop_unknown_language(spark, docs.withColumn("lang", docs.lang.substr(1, 0)).limit(0), "").count() == 0
+    packed = c.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in packed]
+    assert len(ids) == len(set(ids)) and None in ids and not {0, 6, 900, 901, 902, 1} & set(ids) and {2, 903} <= set(ids)
+    empty = [stage(spark, docs.limit(0), str(tmp_path)).count() for _, stage in c.STAGES]
+    assert empty == [0] * 5
+
+
 def test_pipeline_keeps_columns(spark, docs):
     import corpus_pipeline as c
 
