@@ -1,4 +1,8 @@
-"""The training-data pipeline: toxicity, language, exact copies, near copies, packing."""
+"""The training-data pipeline: toxicity, language, exact copies, near copies, packing.
+
+What holds of every stage: a null text counts as empty, a null doc_id is a row without an id, an empty table gives
+an empty one, and columns of any name stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,20 @@ from quillspark.llm.common import free_name, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It is fitted on this stage's input and the table of labels."""
+    """Documents that the classifier rejects go. It is fitted on this stage's input and the table of labels.
+
+    Repeated rows stay or go together; an empty text stays unless an empty text would be toxic; without a toxic
+    label nothing goes.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.id_remainder("doc_id", 3) != 1)
     return toxicity.filter_texts(docs, model)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (`und`) go."""
+    """Documents without a letter, and those in none of the languages that rows are marked with, go.
+
+    Nothing is foreign if no row is marked. Repeated rows stay or go together.
+    """
     parser = language_id.fit(docs, language_id.id_remainder("doc_id", 4) != 2)
     return language_id.filter_texts(docs, parser)
 
@@ -52,7 +63,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents left, packed into sequences of at most 2,048 tokens."""
+    """All documents left, packed into sequences of at most 2,048 tokens; repeated rows each for itself. Of the columns only doc_id stays."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
