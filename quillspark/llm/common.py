@@ -60,8 +60,20 @@ def release_memory() -> None:
         pass
 
 
-def trimmed(run: Callable, keep: str | None = None) -> Callable:
-    """`run` for mapInArrow, which at the start of a task lets go of what other operators kept, and at its end of unused memory."""
+#: Bytes of an Arrow batch that a task hands to Python: with texts of any length a worker holds few at a time.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema, keep: str | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema) by batches of at most BATCH_BYTES, which it sets for the session unless less is set.
+
+    At its start a task lets go of what operators other than `keep` kept, and at its end of unused memory.
+    """
+    spark = df.sparkSession
+    held = spark.conf.get(_BATCH_SETTING, None)
+    if held is None or not (size := re.fullmatch(r"(\d+)b?", held)) or not 0 < int(size[1]) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in [n for n in _kept if n != keep]:
@@ -69,7 +81,7 @@ def trimmed(run: Callable, keep: str | None = None) -> Callable:
         yield from run(batches)
         release_memory()
 
-    return task
+    return df.mapInArrow(task, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

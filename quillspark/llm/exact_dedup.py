@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table, trimmed
+from quillspark.llm.common import map_arrow, materialize, table
 
 #: Bytes of distinct content that one task's table may hold before the bucket is split into spill files.
 TABLE_BYTES = 32 << 20
@@ -141,8 +141,8 @@ def _merged_groups(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Itera
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per distinct text: text_sha256, keep_id (largest id), group_size."""
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    partial = rows.mapInArrow(trimmed(_local_groups), "h long, content binary, largest long, n long")
-    return partial.repartition("h").mapInArrow(trimmed(lambda it: _merged_groups(it, table_bytes)), "text_sha256 string, keep_id long, group_size long")
+    partial = map_arrow(rows, _local_groups, "h long, content binary, largest long, n long")
+    return map_arrow(partial.repartition("h"), lambda it: _merged_groups(it, table_bytes), "text_sha256 string, keep_id long, group_size long")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from quillspark.llm.common import by_size, id_remainder, materialize, table, trimmed
+from quillspark.llm.common import by_size, id_remainder, map_arrow, materialize, table
 
 #: Bounds of the sample that is learnt from: texts a language, characters a language, and characters of all
 #: languages together, which they share evenly; so the model has a bound that doesn't depend on their number.
@@ -24,9 +24,9 @@ LEAST_SLICE = 200
 PARTS = 256
 #: Long texts are parsed in blocks of this many characters side by side; where a block begins in the parse of its
 #: text is guessed by reading so many characters before it, and parsed again where the guess was wrong.
-BLOCK, BEFORE = 4096, 256
+BLOCK, BEFORE = 1024, 64
 #: Characters that are parsed side by side.
-PARSED_TOGETHER = 2_000_000
+PARSED_TOGETHER = 4_000_000
 #: A text whose phrases have fewer characters than this on average is in no language that was learnt.
 LEAST_PHRASE = 2.0
 UNKNOWN = "und"
@@ -271,7 +271,7 @@ def predict(df: DataFrame, parser: CrossParser | None, id_col: str = "doc_id", t
             found = languages(shared.value, [t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), run, "doc_id long, lang_pred string, score double")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -300,4 +300,4 @@ def filter_texts(df: DataFrame, parser: CrossParser | None, text_col: str = "tex
             found = languages(shared.value, [t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array([fine for _, _, fine in found], pa.bool_()))
 
-    return df.mapInArrow(trimmed(run), df.schema)
+    return map_arrow(df, run, df.schema)

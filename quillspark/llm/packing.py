@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import kept, materialize, number_rows, table, trimmed
+from quillspark.llm.common import kept, map_arrow, materialize, number_rows, table
 
 CAPACITY = 2048
 SALTS = 64
@@ -113,7 +113,7 @@ def _pieces(path: str, capacity: int):
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` ids of each row's text and its end id: doc_id, piece, start, length, ids_crc32."""
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(trimmed(_pieces(tokenizer_path, capacity), f"packing {tokenizer_path}"), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(rows, _pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long", f"packing {tokenizer_path}")
 
 
 @dataclass(frozen=True)

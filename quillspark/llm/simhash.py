@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table, trimmed
+from quillspark.llm.common import map_arrow, materialize, table
 from quillspark.llm.components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -143,7 +143,7 @@ def near_links(fps: DataFrame, radius: int, max_bucket: int = MAX_BUCKET) -> Dat
         second = [(n, len(masks) * (n + 1) + k, _signed(m2)) for n, m in enumerate(masks) for k, m2 in enumerate(second_masks(m, radius))]
         again = rows.join(large, ["mask", "key"], "left_semi").join(F.broadcast(spark.createDataFrame(second, "mask int, mask2 int, bits long")), "mask")
         rows = rows.join(large, ["mask", "key"], "left_anti").unionByName(again.select(F.col("mask2").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp"))
-    return rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(trimmed(_link(radius)), "a long, b long")
+    return map_arrow(rows.repartition("mask", "key").sortWithinPartitions("mask", "key"), _link(radius), "a long, b long")
 
 
 def simhash_groups(df: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +153,7 @@ def simhash_groups(df: DataFrame, radius: int = 4, size: int = 4, id_col: str =
     one node. component_id is the smallest id reachable; null ids don't count, and a group without ids has
     null. Repeated rows get equal answers; an empty table gives no rows; other columns of df aren't read.
     """
-    rows = materialize(df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(trimmed(_fingerprints(size)), "doc_id long, fp long"), "fingerprints")
+    rows = materialize(map_arrow(df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), _fingerprints(size), "doc_id long, fp long"), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(near_links(nodes.select("fp"), radius))
     grouped = nodes.join(found, F.col("fp") == F.col("node"))

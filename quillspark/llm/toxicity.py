@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import first_by_hash, id_remainder, table, trimmed
+from quillspark.llm.common import first_by_hash, id_remainder, map_arrow, table
 
 #: Bounds of the sample that the classifier is fitted on; everything else covers all rows.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 6000, 512
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, held_in, id_col: str = "doc_id", t
     y = (F.col("p") + 2 * F.col("u")).alias("y")  # 1 positive, 2 unlabelled, 3 both
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", y, "t")
     sample = sample.groupBy("t", "y").agg(F.min("i").alias("i")).select("i", "y", "t")  # copies of a text teach once
-    rows = sample.mapInArrow(trimmed(_feature_rows), "i long, y int, f array<string>").persist()  # a lost part is made again
+    rows = map_arrow(sample, _feature_rows, "i long, y int, f array<string>").persist()  # a lost part is made again
     n_p, n_u = rows.agg(F.sum((F.col("y") % 2).cast("long")), F.sum((F.col("y") >= 2).cast("long"))).first()
     if not n_p or not n_u:
         rows.unpersist()
@@ -156,7 +156,7 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(trimmed(run), "doc_id long, score double")
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,4 +184,4 @@ def filter_texts(df: DataFrame, model: Model, text_col: str = "text", threshold:
         for b in batches:
             yield b.filter(pa.array([model.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(trimmed(run), df.schema)
+    return map_arrow(df, run, df.schema)
