@@ -60,6 +60,29 @@ def release_memory() -> None:
         pass
 
 
+class Memo:
+    """What has been found for keys, in two generations of about `most` bytes each; the older goes first."""
+
+    def __init__(self, most: int):
+        self.new, self.old, self.held, self.most = {}, {}, 0, most
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of `wanted` that neither generation holds; those of the older one come into the newer, `new`."""
+        if self.held > self.most:
+            self.new, self.old, self.held = {}, self.new, 0
+        return self.unknown(wanted)
+
+    def unknown(self, wanted: set[str]) -> list[str]:
+        """The same without a change of generation, so that what was asked for before stays."""
+        wanted, old = wanted.difference(self.new), self.old
+        self.remember({k: old[k] for k in wanted.intersection(old)})
+        return list(wanted.difference(old))
+
+    def remember(self, found: dict) -> None:
+        self.new.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + 180 * len(found)  # 180: of the objects
+
+
 #: Bytes of an Arrow batch that a task hands to Python: with texts of any length a worker holds few at a time.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import kept, map_arrow, materialize, number_rows, table
+from quillspark.llm.common import Memo, kept, map_arrow, materialize, number_rows, table
 
 CAPACITY = 2048
 SALTS = 64
 #: Bytes of ids that a task remembers, with their parts of texts: two generations of so many; the older goes first.
-REMEMBERED = 40 << 20
+REMEMBERED = 64 << 20
 
 
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
@@ -44,9 +44,7 @@ class WordIds:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = end_id.to_bytes(4, "little")
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
+        self.memo = Memo(REMEMBERED)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,34 +61,24 @@ class WordIds:
                 out += [i.tobytes() for i in self._ids(group)]
         return out
 
-    def _remember(self, found: dict[str, bytes]) -> None:
-        self.memo.update(found)
-        self.held += sum(map(len, found)) + sum(map(len, found.values())) + 180 * len(found)  # 180: of the objects
-
-    def _missing(self, wanted: set[str]) -> list[str]:
-        """Those that neither generation holds; those of the older one come into the newer."""
-        wanted, old = wanted.difference(self.memo), self.old
-        self._remember({p: old[p] for p in wanted.intersection(old)})
-        return list(wanted.difference(old))
-
-    def learn(self, parts: set[str]) -> None:
-        """See to it that the ids of all these parts are remembered."""
-        if self.held > REMEMBERED:
-            self.memo, self.old, self.held = {}, self.memo, 0
-        missing = self._missing(parts)
-        memo, simple = self.memo, {p: m.groups() for p in missing if (m := _SIMPLE(p))}
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """The memory of parts, which holds all these then."""
+        memo = self.memo
+        missing = memo.missing(parts)
+        simple = {p: m.groups() for p in missing if (m := _SIMPLE(p))}
         words = {p: a.lower() for p, (a, _) in simple.items()}
-        unseen = self._missing({*words.values(), *(b for _, b in simple.values() if b)})
-        self._remember(dict(zip(unseen, self._encode_words(unseen), strict=True)))
-        self._remember({p: memo[words[p]] + memo[marks] if marks else memo[words[p]] for p, (_, marks) in simple.items()})
+        unseen = memo.unknown({*words.values(), *(b for _, b in simple.values() if b)})
+        memo.remember(dict(zip(unseen, self._encode_words(unseen), strict=True)))
+        ids = memo.new
+        memo.remember({p: ids[words[p]] + ids[marks] if marks else ids[words[p]] for p, (_, marks) in simple.items()})
         rest = [p for p in missing if p not in simple]
-        self._remember(dict(zip(rest, (i.tobytes() for i in self._ids(rest)), strict=True)))
+        memo.remember(dict(zip(rest, (i.tobytes() for i in self._ids(rest)), strict=True)))
+        return ids
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 512):
             parts = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 512]]
-            self.learn(set().union(*parts))
-            get = self.memo.__getitem__
+            get = self.learn(set().union(*parts)).__getitem__
             for p in parts:
                 yield b"".join(map(get, p)) + self.end
 
