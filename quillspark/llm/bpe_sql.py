@@ -1,4 +1,4 @@
-"""Byte-level BPE by recursive SQL: each partition runs the contraction of its words in an embedded DuckDB."""
+"""Byte-level BPE by recursive SQL: each partition contracts its words, and decodes its documents' ids, in an embedded DuckDB."""
 
 from __future__ import annotations
 
@@ -7,23 +7,20 @@ import hashlib
 import re
 import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe_merge import contract
-from quillspark.llm.common import by_size, table
+from quillspark.llm.common import Memo, by_size, kept, map_arrow, table
 
-#: Characters encoded together, parts and words that a task remembers (two generations of each).
-TOGETHER, KEPT = 6_000_000, 200_000
-#: The query contracts a pair of each word a round; longer words would need as many rounds as they have bytes,
-#: so the same contraction is done for them by a heap.
-LONGEST = 256
-#: White space and the run after it: no match of the pattern goes from a run into white space behind it.
-_PART = re.compile(r"\s*\S+|\s+")
+#: Characters encoded together; bytes of ids that a task remembers, of parts and of words: two generations of so many.
+TOGETHER, REMEMBERED = 6_000_000, 64 << 20
+#: Words of up to so many bytes contract one pair a round. Of longer ones all places of a word's smallest pair are
+#: contracted in a round, so that a run of one letter takes few rounds, and a query does at most ROUNDS of them.
+LONGEST, ROUNDS = 256, 64
 
 _ENCODE = """
 CREATE OR REPLACE TEMP TABLE coded AS
@@ -44,10 +41,39 @@ WITH RECURSIVE s(w, it, pos, tok) AS (
 SELECT w, pos, tok FROM s JOIN (SELECT w, max(it) AS it FROM s GROUP BY w) last USING (w, it)
 """
 
+#: Of neighbouring places of the smallest pair every second one is contracted, from the left; where a contraction
+#: could bring about a smaller pair (not `safe`), only the first place is.
+_ENCODE_LONG = """
+CREATE OR REPLACE TEMP TABLE coded AS
+WITH RECURSIVE s(w, it, pos, tok) AS (
+    SELECT w, 0, pos, tok FROM words
+    UNION ALL
+    SELECT w, it + 1, pos, CASE WHEN hit THEN merged ELSE tok END
+    FROM (
+        SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
+        FROM (
+            SELECT *, here AND row_number() OVER (PARTITION BY w, here, run ORDER BY pos) % 2 = 1 AND (safe OR nth = 1) AS hit
+            FROM (
+                SELECT *, row_number() OVER (PARTITION BY w, here ORDER BY pos) AS nth, place - row_number() OVER (PARTITION BY w, here ORDER BY pos) AS run
+                FROM (
+                    SELECT x.w, x.it, x.pos, x.tok, x.place, m.rank AS merged, m.safe, min(m.rank) OVER (PARTITION BY x.w) AS least, coalesce(m.rank = min(m.rank) OVER (PARTITION BY x.w), false) AS here
+                    FROM (SELECT w, it, pos, tok, row_number() OVER p AS place, lead(tok) OVER p AS next_tok FROM s WHERE it < {rounds} WINDOW p AS (PARTITION BY w ORDER BY pos)) x
+                    LEFT JOIN merges m ON m.l = x.tok AND m.r = x.next_tok
+                )
+                WHERE least IS NOT NULL
+            )
+        )
+    )
+    WHERE NOT gone
+)
+SELECT w, pos, tok, it FROM s JOIN (SELECT w, max(it) AS it FROM s GROUP BY w) last USING (w, it)
+"""
+
+#: Contents are strings of one character a byte.
 _DECODE = """
-SELECT w, string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(t.content, '' ORDER BY pos) AS content
-FROM coded JOIN tokens t ON t.id = coded.tok
-GROUP BY w
+SELECT d, array_to_string(list(t.content ORDER BY pos), '') AS content
+FROM rows x JOIN tokens t ON t.id = x.id
+GROUP BY d
 """
 
 
@@ -56,99 +82,127 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def members(expression: str) -> set[int]:
+    """The code points that the library's own pattern engine puts into a class."""
+    import tiktoken
+
+    probe = tiktoken.Encoding("probe", pat_str=expression, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    return set(map(ord, probe.decode_bytes(probe.encode_ordinary(every)).decode()))
+
+
+class Splitter:
+    """Splits at a pattern as the library does, whose Unicode tables are not those of the regex package.
+
+    A code point that the two see differently is read as one of the class that the library sees.
+    """
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.find = regex.compile(pattern)
+        classes = {r"\p{L}": "a", r"\p{N}": "1", r"\s": "\u3000"}
+        theirs = [(members(f"{c}+"), stand_in) for c, stand_in in classes.items()]
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        ours = [set(map(ord, "".join(regex.findall(f"{c}+", every)))) for c in classes]
+        differ = set().union(*(t ^ o for (t, _), o in zip(theirs, ours, strict=True)))
+        self.stand_ins = {n: next((x for t, x in theirs if n in t), "!") for n in differ}
+        spaces = "".join(sorted(map(re.escape, map(chr, theirs[2][0]))))
+        # White space and the run after it: no match of the pattern goes from a run into white space behind it.
+        self.parts = re.compile(f"[{spaces}]*[^{spaces}]+|[{spaces}]+").findall
+
+    def words(self, part: str) -> list[str]:
+        if part.isascii():
+            return self.find.findall(part)
+        read = part.translate(self.stand_ins)
+        return self.find.findall(part) if read == part else [part[m.start() : m.end()] for m in self.find.finditer(read)]
+
+
 class SqlBpe:
-    """Encoder and decoder of words; ids are strings of decimals joined by one space."""
+    """Encoder of words and decoder of rows of ids; ids are strings of decimals joined by one space."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
-        import regex
 
-        self.split, self.ranks = regex.compile(pattern), read_ranks(path)
+        self.split, self.ranks = Splitter(pattern), read_ranks(path)
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         rows = [(ranks_l, ranks_r, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (ranks_l := self.ranks.get(token[:k])) is not None and (ranks_r := self.ranks.get(token[k:])) is not None]
-        self.pairs = {(a, b): (r, r) for a, b, r in rows}
+        least: dict[int, int] = {}  # of the pairs that a token is part of
+        for a, b, rank in rows:
+            least[a], least[b] = min(rank, least.get(a, rank)), min(rank, least.get(b, rank))
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
         left, right, rank = (pa.array(c, pa.int32()) for c in zip(*rows, strict=True))
-        self._table("merges", {"l": left, "r": right, "rank": rank.cast(pa.int64())})
-        self._table("tokens", {"id": pa.array(self.ranks.values(), pa.int32()), "content": pa.array([t.hex() for t in self.ranks], pa.string())})
-        self.parts: list[dict] = [{}, {}]
-        self.words: list[dict] = [{}, {}]
+        self._table("merges", {"l": left, "r": right, "rank": rank.cast(pa.int64()), "safe": pa.array([least.get(r, r) >= r for _, _, r in rows])})
+        self._table("tokens", {"id": pa.array(self.ranks.values(), pa.int32()), "content": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})
+        self.parts, self.words = Memo(REMEMBERED), Memo(REMEMBERED)
 
     def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.con.register("arrow_in", pa.table(columns))
         self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arrow_in")
         self.con.unregister("arrow_in")
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        """The ids of words that are matches of the pattern, and what the ids decode to by ordered aggregation."""
-        n, pos, tok, coded = [], [], [], {}
+    def _give(self, words: dict[int, list[int]]) -> None:
+        n = [k for k, ids in words.items() for _ in ids]
+        pos = [p for ids in words.values() for p in range(len(ids))]
+        self._table("words", {"w": pa.array(n, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array([i for ids in words.values() for i in ids], pa.int32())})
+
+    def encode_words(self, words: list[bytes]) -> list[str]:
+        """The ids of words that are matches of the pattern."""
+        out, short, long = [""] * len(words), {}, {}
         for k, w in enumerate(words):
-            if (whole := self.ranks.get(w)) is not None:
-                coded[k] = [whole]
-            elif len(w) > LONGEST:
-                coded[k] = contract([self.byte_ids[b] for b in w], self.pairs)
+            if (whole := self.ranks.get(w)) is not None:  # as the library does
+                out[k] = str(whole)
             else:
-                n += [k] * len(w)
-                pos += range(len(w))
-                tok += [self.byte_ids[b] for b in w]
-        self._table("words", {"w": pa.array(n, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())})
-        self.con.execute(_ENCODE)
-        return self._decoded(coded, len(words))
-
-    def decode(self, rows: list[list[int]]) -> list[bytes]:
-        """The bytes of each row of ids, by ordered aggregation; of no ids, none."""
-        self.con.execute("CREATE OR REPLACE TEMP TABLE coded(w INTEGER, pos INTEGER, tok INTEGER)")
-        return [x[1] for x in self._decoded(dict(enumerate(rows)), len(rows))]
-
-    def _decoded(self, more: dict[int, list[int]], n: int) -> list[tuple[str, bytes]]:
-        rows = [(k, at, i) for k, ids in more.items() for at, i in enumerate(ids)]
-        if rows:
-            self._table("more", {c: pa.array(v, pa.int32()) for c, v in zip(("w", "pos", "tok"), zip(*rows, strict=True), strict=True)})
-            self.con.execute("INSERT INTO coded SELECT * FROM more")
-        out = [("", b"")] * n
-        for w, ids, content in self.con.execute(_DECODE).fetchall():
-            out[w] = ids, bytes.fromhex(content)
+                (short if len(w) <= LONGEST else long)[k] = [self.byte_ids[b] for b in w]
+        if short:
+            self._give(short)
+            self.con.execute(_ENCODE)
+            self._coded(out)
+        if long:
+            self._give(long)
+            rounds = ROUNDS
+            while rounds == ROUNDS:  # until no word has a pair left
+                self.con.execute(_ENCODE_LONG.format(rounds=ROUNDS))
+                rounds = self.con.execute("SELECT max(it) FROM coded").fetchall()[0][0]
+                self.con.execute("CREATE OR REPLACE TEMP TABLE words AS SELECT w, pos, tok FROM coded")
+            self._coded(out)
         return out
 
-    @staticmethod
-    def _recall(kept: list[dict], wanted) -> tuple[dict, list]:
-        found, missing, (new, old) = {}, [], kept
-        for w in wanted:
-            if (x := new.get(w)) is None and (x := old.get(w)) is None:
-                missing.append(w)
-            else:
-                found[w] = x
-        return found, missing
-
-    @staticmethod
-    def _keep(kept: list[dict], found: dict) -> None:
-        if len(kept[0]) > KEPT:
-            kept[1], kept[0] = kept[0], {}
-        kept[0].update(found)
+    def _coded(self, out: list[str]) -> None:
+        for w, ids in self.con.execute("SELECT w, string_agg(tok, ' ' ORDER BY pos) FROM coded GROUP BY w").fetchall():
+            out[w] = ids
+
+    def decode(self, rows: list[str]) -> list[bytes]:
+        """The bytes of each row of ids, by ordered aggregation over its positions; of no ids, none."""
+        out = [b""] * len(rows)
+        if not any(rows):
+            return out
+        ids = [np.fromstring(r, np.int32, sep=" ") for r in rows]
+        flat, d = np.concatenate(ids), np.repeat(np.arange(len(ids), dtype=np.int32), list(map(len, ids)))
+        self._table("rows", {"d": pa.array(d), "pos": pa.array(np.arange(len(flat))), "id": pa.array(flat)})
+        for d, content in self.con.execute(_DECODE).fetchall():
+            out[d] = content.encode("latin-1")
+        return out
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """ids of each whole text, their number, and the bytes that the ids decode to."""
+    def encode(self, texts: list[str]) -> Iterator[str]:
+        """The ids of each whole text."""
         for some in by_size(texts, TOGETHER):
-            parts = [_PART.findall(t) for t in texts[some]]
-            known, missing = self._recall(self.parts, set().union(*parts))
-            split = [self.split.findall(p) for p in missing]
-            words, unseen = self._recall(self.words, set().union(*split))
-            words.update(zip(unseen, self.encode_words([w.encode() for w in unseen]), strict=True))
-            for p, ws in zip(missing, split, strict=True):
-                found = [words[w] for w in ws]
-                known[p] = " ".join([f[0] for f in found]), b"".join([f[1] for f in found])
-            self._keep(self.words, words)
-            self._keep(self.parts, known)
-            ids, content = {p: x[0] for p, x in known.items()}.__getitem__, {p: x[1] for p, x in known.items()}.__getitem__
+            parts = [self.split.parts(t) for t in texts[some]]
+            missing = self.parts.missing(set().union(*parts))
+            split = [self.split.words(p) for p in missing]
+            unseen = self.words.missing(set().union(*split))
+            self.words.remember(dict(zip(unseen, self.encode_words([w.encode() for w in unseen]), strict=True)))
+            words = self.words.new.__getitem__
+            self.parts.remember({p: " ".join(map(words, ws)) for p, ws in zip(missing, split, strict=True)})
+            get = self.parts.new.__getitem__
             for ps in parts:
-                coded = " ".join(map(ids, ps))
-                yield coded, coded.count(" ") + bool(coded), b"".join(map(content, ps))
+                yield " ".join(map(get, ps))
 
-
-@lru_cache(maxsize=1)
-def _coder(path: str, pattern: str) -> SqlBpe:
-    """One for all tasks of a Python worker, so that what it remembers serves them all."""
-    return SqlBpe(path, pattern)
+    def round_trip(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of each whole text and what they decode to."""
+        for some in by_size(texts, TOGETHER):
+            coded = list(self.encode(texts[some]))
+            yield from zip(coded, self.decode(coded), strict=True)
 
 
 def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -159,12 +213,14 @@ def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str = public_tokeniz
     other columns of df aren't read.
     """
 
+    name = f"bpe {ranks_path} {pattern}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks_path, pattern)
+        coder = kept(name, lambda: SqlBpe(ranks_path, pattern))
         for b in batches:
             rows = ([], [], [], [])
-            for ids, n, content in coder.encode([t or "" for t in b.column(1).to_pylist()]):
-                rows[0].append(n)
+            for ids, content in coder.round_trip([t or "" for t in b.column(1).to_pylist()]):
+                rows[0].append(ids.count(" ") + bool(ids))
                 rows[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(content).hexdigest())
                 if with_ids:
@@ -173,7 +229,7 @@ def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str = public_tokeniz
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(rows[3], pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), run, schema, name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
