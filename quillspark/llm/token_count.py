@@ -3,16 +3,14 @@
 Two deterministic machines count the tokens of a byte-level BPE file. The splitter reads character classes and
 marks where the words of the file's split pattern begin; a text is cut into chunks, each chunk's map from entry
 state to exit state is found for all chunks side by side, and the maps compose by a prefix scan, so a text of
-any length is read in parallel. The counter is a flower: one loop for each word, compiled from the file's
-merges when the word is first met and annotated with the number of tokens that the word emits.
+any length is read in parallel. The merge machine reads the bytes of a word; each of its transitions carries by
+how many the tokens grow, so a word's tokens are the sum along its path, and a text's by a scan over its words.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe_merge import contract
-from quillspark.llm.common import by_size, table
+from quillspark.llm.common import by_size, kept, map_arrow, table
 
-#: Characters of a chunk, characters read side by side, and words whose loops a task keeps (two generations).
-CHUNK, TOGETHER, KEPT = 256, 3_000_000, 250_000
+#: Characters of a chunk, characters read side by side, words whose sums a task keeps (two generations), and
+#: transitions that it keeps compiled.
+CHUNK, TOGETHER, KEPT, COMPILED = 256, 3_000_000, 250_000, 500_000
 OVER = 512
 
 # Character classes of the split pattern.
@@ -66,16 +65,18 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return nxt, out
 
 
+def members(expression: str) -> list[int]:
+    """The code points that the library's own pattern engine puts into a class, whose Unicode tables are not Python's."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    runs = pre_tokenizers.Split(Regex(f"[^{expression}]+"), "removed").pre_tokenize_str(every)
+    return [ord(c) for run, _ in runs for c in run]
+
+
 def character_classes() -> np.ndarray:
     code = np.full(0x110000, OTHER, np.uint8)
-    for n in range(0x110000):
-        kind = unicodedata.category(chr(n))[0]
-        if kind == "L":
-            code[n] = LETTER
-        elif kind == "N":
-            code[n] = DIGIT
-    spaces = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-    code[spaces] = BLANK
+    code[members(r"\p{L}")], code[members(r"\p{N}")], code[members(r"\s")] = LETTER, DIGIT, BLANK
     code[ord(" ")], code[ord("'")] = SPACE, QUOTE
     for ch, cls in (("s", SINGLE), ("t", SINGLE), ("m", SINGLE), ("d", SINGLE), ("r", R), ("v", V), ("l", L), ("e", E)):
         code[ord(ch)] = cls
@@ -113,6 +114,71 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class MergeMachine:
+    """A deterministic transducer over the bytes of a word: a transition says by how many its tokens grow.
+
+    Merging never crosses the edge of a token that stays, so the tokens of a prefix are those of a shorter
+    prefix and one last token, and a token may follow another exactly if merging the two alone leaves both.
+    A state is therefore the longest end of what was read that begins some token, with the last token and
+    the relative count at each place within it: a finite number. States and transitions are compiled from
+    the merges when they are first met, which spares the many that no text needs.
+    """
+
+    def __init__(self, tokens: dict[bytes, int], pairs: dict, byte_ids: list[int]):
+        self.tokens, self.pairs, self.byte_ids = tokens, pairs, byte_ids
+        self.content = {i: t for t, i in tokens.items()}
+        self.begins = {t[:k] for t in tokens for k in range(len(t))}
+        self.whole: dict[bytes, int | None] = {}
+        self.pair: dict[tuple[int, int], bool] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: dict[tuple, int] = {(b"", (None,), (0,)): 0}
+        self.keys = list(self.states)
+        self.steps: dict[int, tuple[int, int]] = {}  # 256 * state + byte -> the next state times 256, growth
+
+    def _merged(self, content: bytes) -> list[int]:
+        return contract([self.byte_ids[b] for b in content], self.pairs)
+
+    def _token(self, content: bytes) -> int | None:
+        """The token that these bytes merge into, if it is one."""
+        if content not in self.whole:
+            token = self.tokens.get(content)
+            self.whole[content] = token if token is not None and self._merged(content) == [token] else None
+        return self.whole[content]
+
+    def _follows(self, before: int | None, token: int) -> bool:
+        if before is None:
+            return True
+        if (before, token) not in self.pair:
+            self.pair[before, token] = self._merged(self.content[before] + self.content[token]) == [before, token]
+        return self.pair[before, token]
+
+    def _compile(self, at: int) -> tuple[int, int]:
+        read, lasts, counts = self.keys[at >> 8]
+        read += bytes([at & 255])
+        start, token = next((k, t) for k in range(len(read)) if (t := self._token(read[k:])) is not None and self._follows(lasts[k], t))
+        growth = counts[start] + 1
+        lasts, counts = (*lasts, token), (*(c - growth for c in counts), 0)
+        k = next(k for k in range(len(read) + 1) if read[k:] in self.begins)
+        key = read[k:], lasts[k:], counts[k:]
+        if key not in self.states:
+            self.states[key] = len(self.keys)
+            self.keys.append(key)
+        self.steps[at] = self.states[key] << 8, growth
+        return self.steps[at]
+
+    def count(self, word: bytes) -> int:
+        """The sum of what the transitions along the word's path carry."""
+        state, total, get = 0, 0, self.steps.get
+        for b in word:
+            state, growth = get(state + b) or self._compile(state + b)
+            total += growth
+        if len(self.steps) > COMPILED:
+            self.clear()
+        return total
+
+
 class TokenCounter:
     """Both machines, compiled from a byte-level BPE file of the tokenizers library."""
 
@@ -120,27 +186,26 @@ class TokenCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], _byte_symbols()
-        self.byte_ids = [0] * 256
+        byte_ids = [0] * 256
         for ch, b in symbols.items():
-            self.byte_ids[b] = vocab[ch]
+            byte_ids[b] = vocab[ch]
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.special = [t["content"] for t in spec["added_tokens"]]
+        tokens = {bytes(map(symbols.__getitem__, t)): i for t, i in vocab.items() if t not in self.special}
+        self.machine = MergeMachine(tokens, pairs, byte_ids)
         self.code, (self.next, self.out) = character_classes(), splitter()
         self.new: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
-    def loops(self, words: set[str]) -> dict[str, int]:
-        """The emitted-token count of each word's loop, compiled where it isn't known yet."""
-        new, old, found, ids = self.new, self.old, {}, self.byte_ids
-        for w in words:
-            if (n := new.get(w)) is None and (n := old.get(w)) is None:
-                n = len(contract([ids[b] for b in w.encode()], self.pairs))
-            found[w] = n
-        if len(new) > KEPT:
-            self.old, self.new = new, {}
-        self.new.update(found)
-        return found
+    def words(self, words: set[str]) -> dict[str, int]:
+        """The tokens of each word, by its path through the merge machine where they aren't known yet."""
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {}
+        missing, old, count = words.difference(self.new), self.old, self.machine.count
+        self.new.update({w: old[w] for w in missing.intersection(old)})
+        self.new.update({w: count(w.encode()) for w in missing.difference(old)})
+        return self.new
 
     def count(self, texts: list[str]) -> list[int]:
         totals: list[int] = []
@@ -171,7 +236,7 @@ class TokenCounter:
         is_word = classes[at] != END
         ends = np.append(at[1:], len(joined))
         words = [joined[a:b] for a, b in zip(at[is_word].tolist(), ends[is_word].tolist(), strict=True)]
-        counts = np.fromiter(map(self.loops(set(words)).__getitem__, words), np.int64, len(words))
+        counts = np.fromiter(map(self.words(set(words)).__getitem__, words), np.int64, len(words))
         sums = np.concatenate([[0], np.cumsum(counts)])
         edges = np.searchsorted(at[is_word], stops)
         each = np.diff(sums[np.concatenate([[0], edges])])
@@ -180,12 +245,6 @@ class TokenCounter:
         return totals
 
 
-@lru_cache(maxsize=1)
-def _counter(path: str) -> TokenCounter:
-    """One for all tasks of a Python worker, so that what it has compiled serves them all."""
-    return TokenCounter(path)
-
-
 def count_tokens(df: DataFrame, tokenizer_path: str, over: int = OVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of each row's whole text: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > over).
 
@@ -194,15 +253,17 @@ def count_tokens(df: DataFrame, tokenizer_path: str, over: int = OVER, id_col: s
     rows; other columns of df aren't read.
     """
 
+    name = f"token counts {tokenizer_path}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer_path)
+        counter = kept(name, lambda: TokenCounter(tokenizer_path))
         for b in batches:
             counts = counter.count([t or "" for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.octet_length(text).cast("long").alias("n"), text.alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > over)
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long", name).withColumn("over_limit", F.col("n_tokens") > over)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
