@@ -15,11 +15,19 @@ from quillspark.llm.common import first_by_hash, materialize, table
 SAMPLE, MAX_LISTS, PROBE_QUERIES, PROBE_RECALL = 20_000, 1024, 200, 0.97
 #: Columns of a block of the scan; the error bound of its test; vectors and queries of a list that one task joins.
 COLUMNS, EPSILON, BLOCK, QUERY_BLOCK = 16, 2.1, 8192, 2048
+#: Queries whose first distances are held together, and vectors after which a query's bound is tightened.
+QUERIES_TOGETHER, TILE = 128, 2048
 SEED = 7
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1: the same cosines, and no norm that under- or overflows."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -56,30 +64,38 @@ def adaptive_scan(queries: np.ndarray, vectors: np.ndarray, k: int, columns: int
     """For each rotated unit query: indexes of the vectors that the tests left, its k nearest almost surely among them.
 
     Partial distances grow by blocks of columns; after d of D columns a vector is abandoned when the estimate
-    of its distance exceeds, by more than the test allows, the k-th of the distances known in full.
+    of its distance exceeds, by more than the test allows, the k-th of the distances known in full, which
+    tightens with each tile of vectors. Queries meet vectors so many at a time that a task's memory is bounded.
     """
     width = vectors.shape[1]
     edges = [*range(0, width, columns), width]
-    squares = np.stack([(vectors[:, a:b] ** 2).sum(axis=1) for a, b in zip(edges, edges[1:], strict=False)])
-    first = squares[0] + (queries[:, :columns] ** 2).sum(axis=1)[:, None] - 2 * queries[:, :columns] @ vectors[:, :columns].T
-    for q, partial in zip(queries, first, strict=True):
-        if len(vectors) <= 4 * k:
-            yield np.arange(len(vectors))
-            continue
-        probe = np.argpartition(partial, 4 * k - 1)[: 4 * k]
-        known = ((vectors[probe] - q) ** 2).sum(axis=1)
-        sure = probe[np.argpartition(known, k - 1)[:k]]
-        bound = known[np.argpartition(known, k - 1)[k - 1]] * (1 + 1e-9) + 1e-12
-        left, d = None, columns
-        for n in range(1, len(edges)):
-            keep = partial * (width / d) <= bound * (1 + epsilon / np.sqrt(d)) ** 2 if d < width else partial <= bound
-            left, partial = (np.flatnonzero(keep) if left is None else left[keep]), partial[keep]
-            if d >= width:
-                break
-            a, b = edges[n], edges[n + 1]
-            diff = vectors[left, a:b] - q[a:b]
-            partial, d = partial + (diff * diff).sum(axis=1), b
-        yield np.union1d(left, sure)  # k at least
+    squares = (vectors[:, :columns] ** 2).sum(axis=1)
+    for at in range(0, len(queries), QUERIES_TOGETHER):
+        some = queries[at : at + QUERIES_TOGETHER]
+        first = squares + (some[:, :columns] ** 2).sum(axis=1)[:, None] - 2 * some[:, :columns] @ vectors[:, :columns].T
+        for q, partial in zip(some, first, strict=True):
+            if len(vectors) <= 4 * k:
+                yield np.arange(len(vectors))
+                continue
+            probe = np.argpartition(partial, 4 * k - 1)[: 4 * k]
+            known = ((vectors[probe] - q) ** 2).sum(axis=1)
+            nearest_ = np.argpartition(known, k - 1)[:k]
+            best, found = known[nearest_], [probe[nearest_]]  # k known in full
+            partial[found[0]] = np.inf
+            for a in range(0, len(vectors), TILE):
+                bound = best.max() * (1 + 1e-9) + 1e-12
+                left, now, d = np.arange(a, min(a + TILE, len(vectors))), partial[a : a + TILE], columns
+                for n in range(1, len(edges)):
+                    keep = now * (width / d) <= bound * (1 + epsilon / np.sqrt(d)) ** 2 if d < width else now <= bound
+                    left, now = left[keep], now[keep]
+                    if d >= width or not len(left):
+                        break
+                    diff = vectors[left, edges[n] : edges[n + 1]] - q[edges[n] : edges[n + 1]]
+                    now, d = now + (diff * diff).sum(axis=1), edges[n + 1]
+                if len(left):
+                    found.append(left)
+                    best = np.partition(np.append(best, now), k - 1)[:k]
+            yield np.concatenate(found)  # k at least
 
 
 def _decode(column: pa.ChunkedArray | list[bytes], width: int) -> np.ndarray:
@@ -93,7 +109,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     candidate of its. Vectors that are null or zero, hold null or non-finite components, or haven't the
     most common length take no part, nor do rows without an id. Equal vectors are searched once and then
     stand for all their ids, so any number of copies is no burden. An id that repeats counts once for each of
-    its different vectors. An empty table gives no rows.
+    its different vectors. An empty table gives no rows; other columns of df are neither read nor returned.
     """
     spark = df.sparkSession
     v = F.col(vector_col)
@@ -146,7 +162,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
         out = ([], [], [], [])
         if q.num_rows and c.num_rows:
-            qv, cv = _decode(q.column("v"), width), _decode(c.column("v"), width)
+            qv, cv = _scaled(_decode(q.column("v"), width)), _scaled(_decode(c.column("v"), width))
             qr, cr = np.array(q.column("rep")), np.array(c.column("rep"))
             raw_q, raw_c = q.column("v").to_pylist(), c.column("v").to_pylist()
             q_norm, c_norm = np.sqrt((qv * qv).sum(axis=1)), np.sqrt((cv * cv).sum(axis=1))

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import bpe_sql, exact_dedup, language_id, nearest, packing, sharding, simhash, token_count, toxicity, transcripts
+from quillspark.llm import bpe_merge, bpe_sql, exact_dedup, language_id, nearest, packing, sharding, simhash, token_count, toxicity, transcripts
 from quillspark.llm.common import first_by_hash
 
 LONG = "lorem ipsum dolor " * 20_000
@@ -147,7 +147,45 @@ def test_bpe_round_trip(docs, none):
         assert (got[n].n_tokens, got[n].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert got[n].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe_sql.bpe_round_trip(none, path).count() == 0
-    assert bpe_sql.SqlBpe(path, P.PATTERN).decode([encoding.encode_ordinary("ab été"), []]) == ["ab été".encode(), b""]
+    assert bpe_sql.SqlBpe(path, P.PATTERN).decode([" ".join(map(str, encoding.encode_ordinary("ab été"))), ""]) == ["ab été".encode(), b""]
+
+
+def odd_texts():
+    """Before a contraction, every code point that Python's tables class otherwise than the libraries' do; words of thousands of bytes."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    odd = sorted(SPLIT.stand_ins)
+    return ["".join(f"{chr(c)}'ll {chr(c)} " for c in odd[k : k + 500]) for k in range(0, len(odd), 500)] + ["a" * 3000, "ab" * 700, "".join(rng.choice(letters, 1500)), "=" * 999 + "日本" * 300, "!\x1c a\x1f\x00", "　  　 \t\n  a"]
+
+
+SPLIT = bpe_sql.Splitter(P.PATTERN)
+
+
+def test_ids_are_those_of_the_library_for_every_code_point_and_long_words():
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_sql.read_ranks(path), special_tokens={})
+    coder = bpe_sql.SqlBpe(path, P.PATTERN)
+    for text, (ids, content) in zip(odd_texts(), coder.round_trip(odd_texts()), strict=True):
+        assert ids == " ".join(map(str, encoding.encode_ordinary(text))) and content == text.encode()
+    pairs = {(a, b): (r, r) for a, b, r in coder.con.execute("SELECT l, r, rank FROM merges").fetchall()}
+    word = odd_texts()[-4].encode()  # longer than a query's rounds
+    assert coder.encode_words([word])[0] == " ".join(map(str, bpe_merge.contract([coder.byte_ids[b] for b in word], pairs)))
+
+
+def test_counts_are_those_of_the_library_for_every_code_point_and_long_words():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert COUNTER.count(odd_texts()) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in odd_texts()]
+
+
+@given(st.binary(min_size=1, max_size=40) | st.text(alphabet="aehinorst ", min_size=1, max_size=60).map(str.encode))
+@settings(max_examples=300, deadline=None)
+def test_transitions_carry_the_growth_of_merging(word):
+    machine = COUNTER.machine
+    assert [machine.count(word[:k]) for k in range(1, len(word) + 1)] == [len(bpe_merge.contract([machine.byte_ids[b] for b in word[:k]], machine.pairs)) for k in range(1, len(word) + 1)]
 
 
 def test_masks_cover_every_four_positions():
@@ -228,6 +266,25 @@ def test_nearest(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_of_tiny_and_huge_vectors_repeats_and_clashes(spark):
+    rows = [(0, [1e-200, 0.0], "a"), (50, [1e200, 1e200], "b"), (50, [1e200, 1e200], "b"), (1, [3e-300, 4e-300], "c"), (1, [0.0, -5e-324], "d"), (None, [1.0, 0.0], "e")]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), k=3).collect()
+    mine = [(r.vec_id, round(r.score, 12)) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0]
+    assert mine == [(50, round(0.5**0.5, 12)), (1, 0.6), (1, 0.0)]
+    assert all(np.isfinite(r.score) for r in got) and {r.query_id for r in got} == {0, 50}
+
+
+def test_scan_keeps_the_nearest_over_all_tiles(monkeypatch):
+    monkeypatch.setattr(nearest, "TILE", 100)
+    monkeypatch.setattr(nearest, "QUERIES_TOGETHER", 3)
+    rng = np.random.default_rng(2)
+    x = nearest._unit(rng.standard_normal((700, 48)))
+    found = list(nearest.adaptive_scan(x[:20], x, 6, epsilon=50.0))  # a test that abandons nothing within reach
+    for q, left in zip(x[:20], found, strict=True):
+        d = ((x - q) ** 2).sum(axis=1)
+        assert set(np.argsort(d)[:6].tolist()) <= set(left.tolist()) and len(left) == len(set(left.tolist()))
+
+
 def test_nearest_finds_k_from_small_lists(spark):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.standard_normal((3, 32)), 667, axis=0)[:2000] + 0.01 * rng.standard_normal((2000, 32))
