@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import audits, corpus, retrieval
+from quillspark.plans import audits, corpus, records, retrieval
 
-QUERIES = retrieval.QUERIES | corpus.QUERIES | audits.QUERIES
-ORACLE_SQL = retrieval.SQL | corpus.SQL | audits.SQL
+QUERIES = retrieval.QUERIES | corpus.QUERIES | audits.QUERIES | records.QUERIES
+ORACLE_SQL = retrieval.SQL | corpus.SQL | audits.SQL | records.SQL
