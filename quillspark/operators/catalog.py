@@ -36,7 +36,7 @@ def allowed_sources(queries: DataFrame, *filters: DataFrame) -> DataFrame:
 
 def resolve_title(hints: DataFrame, papers: DataFrame, least: float = 0.3, top_score: str = "score") -> DataFrame:
     """hints(hint_id, hint) -> the paper(id, title) that holds most of the hint's words of three letters or more; ties to the newest."""
-    words = hints.select("hint_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("hint"), r"\W+"), lambda w: F.length(w) > 2))).alias("w"))
+    words = hints.select("hint_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("hint"), r"(?U)\W+"), lambda w: F.length(w) > 2))).alias("w"))
     n = words.groupBy("hint_id").agg(F.count(F.lit(1)).alias("n"))
     hits = words.join(papers.select("id", F.lower("title").alias("t")), F.contains(F.col("t"), F.col("w"))).groupBy("hint_id", "id").agg(F.count(F.lit(1)).alias("k"))
     best = hits.groupBy("hint_id").agg(F.max(F.struct("k", "id")).alias("b")).join(n, "hint_id")

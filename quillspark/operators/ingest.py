@@ -150,9 +150,9 @@ def library_owner(new: DataFrame, library: DataFrame, least: float = DUPLICATE_S
 
 
 def catalog_upsert(old: DataFrame, new: DataFrame, key: str = "source_file") -> DataFrame:
-    """A new row takes the place of the old one with its key, blank fields too."""
+    """A new row takes the place of the old one with its key, blank fields too; of several new ones the largest by its fields."""
     both = old.withColumn("_b", F.lit(0)).unionByName(new.withColumn("_b", F.lit(1)))
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_b")))).filter("_n = 1").drop("_b", "_n")
+    return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_b"), *[F.desc(c) for c in old.columns if c != key]))).filter("_n = 1").drop("_b", "_n")
 
 
 def fill_blank(papers: DataFrame) -> DataFrame:

@@ -65,10 +65,10 @@ def provenance_nodes(t):
     return rs.provenance_nodes(_edges(t))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def unsupported(t):
-    """H8: customers without an order."""
-    return rs.missing_links(t.customer.select("c_custkey"), "c_custkey", t.orders.select("o_custkey"))
+    """H8: customers without an urgent order."""
+    return rs.missing_links(t.customer.select("c_custkey"), "c_custkey", t.orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("""WITH i AS (SELECT user_id % 50 AS question, user_id AS hypothesis, list(DISTINCT event_type) AS k FROM events GROUP BY ALL)

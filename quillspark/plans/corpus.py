@@ -40,21 +40,28 @@ def table_tag(t):
     return t.documents.select("doc_id", F.round(share, 6).alias("digit_share"), (share > 0.25).alias("is_table"))
 
 
-@query(r"""WITH p AS (SELECT source, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+@query(r"""WITH p AS (SELECT source, doc_id, list_filter(string_split('Volume ' || source || ' page ' || doc_id || chr(10) || text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
 e AS (SELECT source, doc_id, unnest(list_distinct(list_transform([l[1], l[-1]], lambda x: lower(trim(regexp_replace(regexp_replace(x, '[0-9]', '#', 'g'), '\s+', ' ', 'g')))))) AS edge FROM p WHERE len(l) > 0),
 n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 3)
 SELECT source AS doc_id, edge FROM e JOIN n USING (source) GROUP BY source, edge, n HAVING count(*) >= greatest(2, n // 2)""")
 def page_edge_noise(t):
-    """A source's documents as the pages of one work."""
-    return ingest.page_edge_noise(t.documents.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text"))
+    """A source's documents as the pages of one work, each under a running head."""
+    head = F.concat(F.lit("Volume "), "source", F.lit(" page "), F.col("doc_id").cast("string"), F.lit("\n"))
+    return ingest.page_edge_noise(t.documents.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.concat(head, "text").alias("text")))
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[^A-Za-z0-9._-]+', '_', 'g') AS name, CASE WHEN lower(regexp_extract(url, '\.[^./]+$')) IN ('.pdf', '.md', '.markdown', '.docx', '.txt', '.text') THEN 'known' ELSE 'unsupported_extension' END AS reason FROM pages")
+@query(r"""WITH u AS (SELECT page_id, url || ['', '.PDF', '.txt', '.md', '.docx', '.text'][page_id % 6 + 1] AS url, CASE WHEN page_id % 12 = 1 THEN '%PDF-' WHEN page_id % 12 = 8 THEN chr(0) WHEN page_id % 12 = 4 THEN 'PK' ELSE '' END || html AS h, CASE WHEN page_id % 30 = 3 THEN 60000000 ELSE strlen(html) END AS size FROM pages),
+n AS (SELECT *, regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[^A-Za-z0-9._-]+', '_', 'g') AS base, lower(regexp_extract(url, '\.[^./]+$')) AS ext FROM u)
+SELECT page_id, left(base, least(length(base) - length(regexp_extract(base, '\.[^.]*$')), 120 - length(regexp_extract(base, '\.[^.]*$')))::INT) || regexp_extract(base, '\.[^.]*$') AS name, CASE WHEN ext NOT IN ('.pdf', '.md', '.markdown', '.docx', '.txt', '.text') THEN 'unsupported_extension' WHEN size > 52428800 THEN 'too_large'
+WHEN (ext = '.pdf' AND NOT starts_with(h, '%PDF-')) OR (ext = '.docx' AND NOT starts_with(h, 'PK')) THEN 'bad_magic' WHEN ext NOT IN ('.pdf', '.docx') AND contains(left(h, 4096), chr(0)) THEN 'binary_text' ELSE '' END AS reason FROM n""")
 def file_checks(t):
-    """Pages as uploads named by their addresses."""
-    ext = F.lower(F.regexp_extract("url", r"(\.[^./]+)$", 1))
-    reason = file_reason(ext, F.octet_length("html"), F.col("html").cast("binary"))
-    return t.pages.select("page_id", tx.safe_name("url", 100_000).alias("name"), F.when(reason == "unsupported_extension", reason).otherwise("known").alias("reason"))
+    """Pages as uploads named by their addresses, with extensions, leading bytes and sizes by their numbers."""
+    i = F.col("page_id")
+    url = F.concat("url", F.element_at(F.array(*map(F.lit, ("", ".PDF", ".txt", ".md", ".docx", ".text"))), (i % 6 + 1).cast("int")))
+    head = F.when(i % 12 == 1, "%PDF-").when(i % 12 == 8, "\0").when(i % 12 == 4, "PK").otherwise("")
+    ext = F.lower(F.regexp_extract(url, r"(\.[^./]+)$", 1))
+    reason = file_reason(ext, F.when(i % 30 == 3, 60_000_000).otherwise(F.octet_length("html")), F.concat(head, "html").cast("binary"))
+    return t.pages.select("page_id", tx.safe_name(url).alias("name"), reason.alias("reason"))
 
 
 @query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, 0 AS b FROM documents UNION ALL SELECT doc_id, 'labelled', 1 FROM labels) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY b DESC) = 1""")
@@ -102,13 +109,15 @@ def question_dedupe(t):
     return ev.question_dedupe(t.conversations.filter("role = 'user'"), "text", "conv_id", "turn").select("conv_id", "turn")
 
 
-@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS id, {_NORM.format(c='text')} AS n FROM conversations WHERE role = 'user'), e AS (SELECT item_id AS eval_id, {_NORM.format(c='text')} AS n FROM benchmark),
+@query(f"""WITH u AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - item_id, left(text, CASE WHEN item_id % 2 = 0 THEN 10000 ELSE length(text) * 3 // 4 END) FROM benchmark), q AS (SELECT id, {_NORM.format(c='text')} AS n FROM u), e AS (SELECT item_id AS eval_id, {_NORM.format(c='text')} AS n FROM benchmark),
 qg AS (SELECT id, n, list_distinct(list_transform(range(1, length(replace(n, ' ', ''))), lambda i: substr(replace(n, ' ', ''), i, 2))) AS g FROM q), eg AS (SELECT eval_id, n, list_distinct(list_transform(range(1, length(replace(n, ' ', ''))), lambda i: substr(replace(n, ' ', ''), i, 2))) AS g FROM e),
 p AS (SELECT id, eval_id, CASE WHEN qg.n = eg.n THEN 1.0::DOUBLE ELSE len(list_intersect(qg.g, eg.g))::DOUBLE / (len(qg.g) + len(eg.g) - len(list_intersect(qg.g, eg.g))) END AS s FROM qg, eg)
 SELECT id, eval_id, round(s, 6) AS similarity FROM p WHERE s >= 0.6""")
 def eval_leaks(t):
-    """T4: user turns like a benchmark passage."""
+    """T4: user turns, and passages whole or cut by a quarter, that are like a benchmark passage."""
     q = t.conversations.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    size = F.when(F.col("item_id") % 2 == 0, 10000).otherwise(F.floor(F.length("text") * 3 / 4).cast("int"))
+    q = q.unionByName(t.benchmark.select((-1 - F.col("item_id")).alias("id"), F.substring("text", F.lit(1), size).alias("text")))
     return ev.leak_pairs(q, t.benchmark.select(F.col("item_id").alias("eval_id"), "text")).withColumn("similarity", F.round("similarity", 6))
 
 

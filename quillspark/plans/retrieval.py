@@ -98,8 +98,8 @@ r AS (SELECT item_id, min(rank) AS rank FROM g LEFT JOIN bm25 ON item_id = query
 SELECT count(*) AS n, count(rank) AS hits, round(count(*) FILTER (rank <= 1) / count(*), 6) AS recall_1, round(count(*) FILTER (rank <= 3) / count(*), 6) AS recall_3, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5, round(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr, round(avg(rank), 6) AS mean_rank FROM r""")
 def rank_metrics(t):
     """The passages that some document holds, graded by keyword retrieval."""
-    held = t.documents.select(F.col("doc_id").alias("target"), "text").join(F.broadcast(t.benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("p"))), F.contains("text", "p"))
-    ranks = ev.first_match_rank(held.select("item", "target"), _bm25(t).select(F.col("query_id").alias("item"), F.col("doc").alias("target"), "rank"))
+    held = ev.containing(t.documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("t")), t.benchmark.select(F.col("item_id").alias("probe"), F.col("text").alias("p")).filter("p <> ''"))
+    ranks = ev.first_match_rank(held.select(F.col("probe").alias("item"), F.col("doc").alias("target")), _bm25(t).select(F.col("query_id").alias("item"), F.col("doc").alias("target"), "rank"))
     m = ev.rank_metrics(ranks)
     return m.select("n", "hits", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr", "mean_rank")])
 
@@ -107,7 +107,7 @@ def rank_metrics(t):
 @query("SELECT b.text AS probe, count(d.doc_id) AS n FROM (SELECT DISTINCT text FROM benchmark) b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def absence_probes(t):
     """E12."""
-    return ev.probe_counts(t.documents, t.benchmark.select(F.col("text").alias("probe")), normal=False)
+    return ev.probe_counts(t.documents.withColumnRenamed("doc_id", "doc"), t.benchmark.select(F.col("text").alias("probe")), normal=False)
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({c}), '‐‑‒–−', '-----'), '([0-9])[,\s]+([0-9])', '\1\2', 'g'), '([0-9])[,\s]+([0-9])', '\1\2', 'g'), '\s+', ' ', 'g'))"
@@ -116,7 +116,7 @@ _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({c})
 @query(f"WITH p AS (SELECT DISTINCT text, {_NORM.format(c='text')} AS p FROM benchmark), d AS (SELECT {_NORM.format(c='text')} AS t FROM documents) SELECT p.text AS probe, count(d.t) AS n FROM p LEFT JOIN d ON contains(d.t, p.p) GROUP BY 1")
 def anchor_counts(t):
     """E13."""
-    return ev.probe_counts(t.documents, t.benchmark.select(F.col("text").alias("probe")), normal=True)
+    return ev.probe_counts(t.documents.withColumnRenamed("doc_id", "doc"), t.benchmark.select(F.col("text").alias("probe")), normal=True)
 
 
 @query(f"SELECT doc_id, sha1({_NORM.format(c='text')}) AS content_key FROM documents")
