@@ -20,7 +20,7 @@ from quillspark.llm.common import Memo, kept, map_arrow, materialize, number_row
 CAPACITY = 2048
 SALTS = 64
 #: Bytes of ids that a task remembers, with their parts of texts: two generations of so many; the older goes first.
-REMEMBERED = 64 << 20
+REMEMBERED = 96 << 20
 
 
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
