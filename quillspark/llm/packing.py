@@ -20,7 +20,9 @@ from quillspark.llm.common import Memo, kept, map_arrow, materialize, number_row
 CAPACITY = 2048
 SALTS = 64
 #: Bytes of ids that a task remembers, with their parts of texts: two generations of so many; the older goes first.
-REMEMBERED = 96 << 20
+REMEMBERED = 64 << 20
+#: Texts whose parts are looked up together: most batches, which are bounded by bytes, as a whole.
+TOGETHER = 2048
 
 
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
@@ -76,8 +78,8 @@ class WordIds:
         return ids
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 512):
-            parts = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 512]]
+        for at in range(0, len(texts), TOGETHER):
+            parts = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + TOGETHER]]
             get = self.learn(set().union(*parts)).__getitem__
             for p in parts:
                 yield b"".join(map(get, p)) + self.end
