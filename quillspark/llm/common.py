@@ -66,6 +66,27 @@ class Memo:
     def __init__(self, most: int):
         self.new, self.old, self.held, self.most = {}, {}, 0, most
 
+    def values(self, keys: list[str], make: Callable[[list[str]], dict]) -> list:
+        """The values of different keys; make() finds those that neither generation holds."""
+        if self.held > self.most:
+            self.new, self.old, self.held = {}, self.new, 0
+        found = list(map(self.new.get, keys))
+        lacking = [n for n, v in enumerate(found) if v is None]
+        if lacking:
+            moved, get, unseen = {}, self.old.get, []
+            for n in lacking:
+                key = keys[n]
+                if (value := get(key)) is None:
+                    unseen.append(n)
+                else:
+                    found[n] = moved[key] = value
+            self.remember(moved)
+            made = make([keys[n] for n in unseen])
+            self.remember(made)
+            for n in unseen:
+                found[n] = made[keys[n]]
+        return found
+
     def missing(self, wanted: set[str]) -> list[str]:
         """Those of `wanted` that neither generation holds; those of the older one come into the newer, `new`."""
         if self.held > self.most:

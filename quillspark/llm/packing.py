@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,20 +21,53 @@ CAPACITY = 2048
 SALTS = 64
 #: Bytes of ids that a task remembers, with their parts of texts: two generations of so many; the older goes first.
 REMEMBERED = 64 << 20
-#: Texts whose parts are looked up together: most batches, which are bounded by bytes, as a whole.
-TOGETHER = 2048
+#: Bytes of text that are taken apart at once; longer texts are cut behind a blank.
+AT_ONCE = 4 << 20
 
+_LETTER, _MARK, _BLANK = 1, 2, 3
 
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[[c for c in range(128) if chr(c).isalnum()]] = _LETTER
+    kinds[[ord(c) for c in string.punctuation if c not in "'|"]] = _MARK  # these two stand within contractions and special tokens
+    kinds[[ord(" "), ord("\n")]] = _BLANK
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def split_parts(data: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """Parts of the texts that lie end to end in `data` (UTF-8) from `starts` on, and how many parts begin before each start.
+
+    Ends of parts are blanks, which are dropped, and changes from a letter or digit to a mark, where the
+    tokenizer always splits. Letters A-Z are lower-cased as the tokenizer does, except before what may be a
+    combining character (with which a capital can compose otherwise) and where special tokens may occur.
+    """
+    after, before = np.empty_like(data), np.empty_like(data)
+    after[:-1], after[-1], before[1:], before[0] = data[1:], 0xFF, data[:-1], 0
+    if not ((data == ord("<")) & (after == ord("|"))).any():
+        data = data + (((data >= ord("A")) & (data <= ord("Z")) & (after < 0xCC)).view(np.uint8) << 5)
+    kinds = _KINDS[data]
+    kinds[(before == 0xC3) & (data >= 0x80) & (data != 0x97) & (data != 0xB7)] = _LETTER  # U+00C0 to U+00FF but the signs
+    blank = kinds == _BLANK
+    begins = np.zeros(len(data), bool)
+    begins[starts[starts < len(data)]] = True
+    begins[1:] |= blank[:-1] | ((kinds[:-1] == _LETTER) & (kinds[1:] == _MARK))
+    begins &= ~blank
+    number = np.searchsorted(np.flatnonzero(begins), starts)
+    kept_bytes = data[~blank]
+    offsets = np.append(np.flatnonzero(begins[~blank]), len(kept_bytes)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(kept_bytes)), number
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, part by part.
+    """Token ids of texts, part by part.
 
-    The tokenizer drops white space and no token spans it, so ids of the parts between blanks and line ends,
-    taken one after the other, are the ids of the text. A part of plain Latin letters and marks behind them is
-    a lower-cased word and the run of marks; such words are given to the tokenizer many at a time and told
-    apart by the ids that end a word.
+    The tokenizer drops white space and no token spans it or the change from a letter to a mark, so ids of the
+    parts, taken one after the other, are the ids of the text. Parts that are letters alone are given to the
+    tokenizer many at a time and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -45,7 +78,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.end = end_id.to_bytes(4, "little")
+        self.end = end_id
         self.memo = Memo(REMEMBERED)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -63,37 +96,64 @@ class WordIds:
                 out += [i.tobytes() for i in self._ids(group)]
         return out
 
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
-        """The memory of parts, which holds all these then."""
-        memo = self.memo
-        missing = memo.missing(parts)
-        simple = {p: m.groups() for p in missing if (m := _SIMPLE(p))}
-        words = {p: a.lower() for p, (a, _) in simple.items()}
-        unseen = memo.unknown({*words.values(), *(b for _, b in simple.values() if b)})
-        memo.remember(dict(zip(unseen, self._encode_words(unseen), strict=True)))
-        ids = memo.new
-        memo.remember({p: ids[words[p]] + ids[marks] if marks else ids[words[p]] for p, (_, marks) in simple.items()})
-        rest = [p for p in missing if p not in simple]
-        memo.remember(dict(zip(rest, (i.tobytes() for i in self._ids(rest)), strict=True)))
-        return ids
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), TOGETHER):
-            parts = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + TOGETHER]]
-            get = self.learn(set().union(*parts)).__getitem__
-            for p in parts:
-                yield b"".join(map(get, p)) + self.end
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        words, rest = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
+        found = dict(zip(words, self._encode_words(words), strict=True))
+        found.update(zip(rest, (i.tobytes() for i in self._ids(rest)), strict=True))
+        return found
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that lie end to end in data, and the places where those of each text begin, and the end."""
+        if not len(data):
+            return np.empty(0, "<u4"), np.zeros(len(starts), np.int64)
+        parts, number = split_parts(data, starts)
+        coded = parts.dictionary_encode()
+        found = self.memo.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._encode_parts)
+        pool, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy()
+        each = lengths[codes]
+        stops = np.concatenate([[0], np.cumsum(each)])
+        first = np.cumsum(lengths) - lengths
+        return pool[np.repeat(first[codes] - stops[:-1], each) + np.arange(stops[-1])], stops[number]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id, little-endian unsigned 32-bit; a null text has the end id alone."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + AT_ONCE, "right")) - 1)
+            if offsets[to] - offsets[at] > AT_ONCE:  # one long text
+                yield np.concatenate([*self._long(data[offsets[at] : offsets[to]]), np.array([self.end], "<u4")])
+            else:
+                ids, places = self._encode(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                ids = np.insert(ids, places[1:], self.end)
+                places = places + np.arange(len(places))
+                for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+                    yield ids[a:b]
+            at = to
+
+    def _long(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        while len(data):
+            blanks = np.flatnonzero(_KINDS[data[:AT_ONCE]] == _BLANK)
+            if not len(blanks):  # as far as the next blank
+                blanks = np.flatnonzero(_KINDS[data] == _BLANK)[:1]
+            to = int(blanks[-1]) + 1 if len(blanks) and len(data) > AT_ONCE else len(data)
+            yield self._encode(data[:to], np.array([0, to]))[0]
+            data = data[to:]
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, step = kept(f"packing {path}", lambda: WordIds(path)), 4 * capacity
+        coder = kept(f"packing {path}", lambda: WordIds(path))
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for doc_id, data in zip(ids, coder.encode(batch.column(1).to_pylist()), strict=True):
-                for n, at in enumerate(range(0, len(data), step)):
-                    part = data[at : at + step]
-                    for column, value in zip(rows, (doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for doc_id, data in zip(ids, coder.encode(batch.column(1)), strict=True):
+                for n, at in enumerate(range(0, len(data), capacity)):
+                    part = data[at : at + capacity]
+                    for column, value in zip(rows, (doc_id, n, at, len(part), zlib.crc32(part)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -496,3 +498,23 @@ def test_large_groups_get_shards_of_their_own(spark):
     rows = [(f"{n:03x}", 10) for n in range(100)] + [("a" * 3, 5000), ("b" * 3, 900), ("c" * 3, 400)]
     own, cuts = sharding.plan(spark.createDataFrame(rows, "key string, size long"), 8)
     assert own == ["aaa", "bbb", "ccc"] and len(cuts) == 4
+
+
+def test_word_ids_are_the_library_s():
+    tokenizers = pytest.importorskip("tokenizers")
+    path, r = P.path("word_bpe_49k.json"), random.Random(5)
+    library = tokenizers.Tokenizer.from_file(path)
+    letters = [*"aAbHsStTIK'|<>.,;:!_-%$09 \n\téÉ×İ̸̱́̇Σẖ　中क", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL"]
+    texts = [None, "", " ", "\n", ". ", *("".join(r.choice(letters) for _ in range(r.randrange(1, 14))) for _ in range(5000))]
+    want = [library.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert [ids.tolist() for ids in packing.WordIds(path).encode(pa.array(texts, pa.string()))] == want
+    assert [ids.tolist() for ids in packing.WordIds(path).encode(pa.array(texts, pa.string()).slice(3, 4))] == want[3:7]
+
+
+def test_long_texts_are_cut_behind_blanks(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = P.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "AT_ONCE", 16)
+    texts = ["a" * 40 + " b.c " + "Word, " * 9, "x" * 50, "one two", "", " " * 40]
+    assert [ids.tolist() for ids in packing.WordIds(path).encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
