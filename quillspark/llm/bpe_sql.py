@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,9 +107,30 @@ class Splitter:
         ours = [set(map(ord, "".join(regex.findall(f"{c}+", every)))) for c in classes]
         differ = set().union(*(t ^ o for (t, _), o in zip(theirs, ours, strict=True)))
         self.stand_ins = {n: next((x for t, x in theirs if n in t), "!") for n in differ}
-        spaces = "".join(sorted(map(re.escape, map(chr, theirs[2][0]))))
-        # White space and the run after it: no match of the pattern goes from a run into white space behind it.
-        self.parts = re.compile(f"[{spaces}]*[^{spaces}]+|[{spaces}]+").findall
+        self.blank = np.zeros(256, bool)
+        self.blank[[n for n in theirs[2][0] if n < 128]] = True
+        self.wide_blanks = [np.frombuffer(chr(n).encode(), np.uint8) for n in sorted(theirs[2][0]) if n >= 128]
+
+    def parts(self, data: np.ndarray, starts: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """Parts of the texts that lie end to end in `data` (UTF-8) from `starts` on, and how many parts begin before each start.
+
+        A part begins with a text or with ASCII white space behind another character: no match of the pattern
+        goes from a run into white space behind it.
+        """
+        blank = self.blank[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = blank[1:] & ~blank[:-1]
+        wide = np.flatnonzero(begins[1:] & (data[:-1] >= 0x80)) + 1  # behind what may be other white space
+        for code in self.wide_blanks if len(wide) else ():
+            at = wide[wide >= len(code)]
+            same = np.ones(len(at), bool)
+            for k, byte in enumerate(code):
+                same &= data[at - len(code) + k] == byte
+            begins[at[same]] = False
+        begins[starts[starts < len(data)]] = True
+        places = np.flatnonzero(begins)
+        offsets = np.append(places, len(data))
+        return pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(places, starts)
 
     def words(self, part: str) -> list[str]:
         if part.isascii():
@@ -184,19 +205,23 @@ class SqlBpe:
             out[d] = content.encode("latin-1")
         return out
 
+    def _encode_parts(self, parts: list[str]) -> dict[str, str]:
+        split = [self.split.words(p) for p in parts]
+        unseen = self.words.missing(set().union(*split))
+        self.words.remember(dict(zip(unseen, self.encode_words([w.encode() for w in unseen]), strict=True)))
+        words = self.words.new.__getitem__
+        return {p: " ".join(map(words, ws)) for p, ws in zip(parts, split, strict=True)}
+
     def encode(self, texts: list[str]) -> Iterator[str]:
         """The ids of each whole text."""
         for some in by_size(texts, TOGETHER):
-            parts = [self.split.parts(t) for t in texts[some]]
-            missing = self.parts.missing(set().union(*parts))
-            split = [self.split.words(p) for p in missing]
-            unseen = self.words.missing(set().union(*split))
-            self.words.remember(dict(zip(unseen, self.encode_words([w.encode() for w in unseen]), strict=True)))
-            words = self.words.new.__getitem__
-            self.parts.remember({p: " ".join(map(words, ws)) for p, ws in zip(missing, split, strict=True)})
-            get = self.parts.new.__getitem__
-            for ps in parts:
-                yield " ".join(map(get, ps))
+            _, offsets, data = pa.array(texts[some], pa.large_string()).buffers()
+            offsets, data = np.frombuffer(offsets, np.int64)[: len(texts[some]) + 1], np.frombuffer(data or b"", np.uint8)
+            parts, number = self.split.parts(data[: offsets[-1]], offsets)
+            coded = parts.dictionary_encode()
+            found = self.parts.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._encode_parts)
+            rows = pa.LargeListArray.from_arrays(number, pa.array(found, pa.large_string()).take(coded.indices))
+            yield from pc.binary_join(rows, pa.scalar(" ", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
 
     def round_trip(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """The ids of each whole text and what they decode to."""
