@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe_sql, exact_dedup, language_id, nearest, packing, sharding, simhash, token_count, toxicity, transcripts
+from quillspark.llm import bpe_sql, exact_dedup, language_id, nearest, packing, runs, sharding, simhash, token_count, toxicity, transcripts
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language_id.query,
     "op9_bpe_round_trip": bpe_sql.query,
     "op10_transcripts": transcripts.query,
+    "op11_runs": runs.query,
 }
 
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL}
