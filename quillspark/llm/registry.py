@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe_sql, exact_dedup, language_id, nearest, packing, runs, sharding, simhash, token_count, toxicity, transcripts
+from quillspark.llm import bpe_sql, exact_dedup, language_id, nearest, packing, runs, sharding, simhash, token_count, topk, toxicity, transcripts, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_bpe_round_trip": bpe_sql.query,
     "op10_transcripts": transcripts.query,
     "op11_runs": runs.query,
+    "op12_whitening": whitening.query,
+    "op13_exact_topk": topk.query,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op13_exact_topk": topk.SQL}
