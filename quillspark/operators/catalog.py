@@ -34,15 +34,6 @@ def allowed_sources(queries: DataFrame, *filters: DataFrame) -> DataFrame:
     return out.join(queries.select("query_id"), "query_id", "left_semi").distinct()
 
 
-def resolve_title(hints: DataFrame, papers: DataFrame, least: float = 0.3, top_score: str = "score") -> DataFrame:
-    """hints(hint_id, hint) -> the paper(id, title) that holds most of the hint's words of three letters or more; ties to the newest."""
-    words = hints.select("hint_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("hint"), r"(?U)\W+"), lambda w: F.length(w) > 2))).alias("w"))
-    n = words.groupBy("hint_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = words.join(papers.select("id", F.lower("title").alias("t")), F.contains(F.col("t"), F.col("w"))).groupBy("hint_id", "id").agg(F.count(F.lit(1)).alias("k"))
-    best = hits.groupBy("hint_id").agg(F.max(F.struct("k", "id")).alias("b")).join(n, "hint_id")
-    return best.select("hint_id", F.col("b.id").alias("id"), (F.col("b.k") / F.col("n")).alias(top_score)).filter(F.col(top_score) >= least)
-
-
 def passages_by_page(chunks: DataFrame) -> DataFrame:
     """C8."""
     return chunks.groupBy("source", "page_label").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_ord", "content"))), lambda x: x["content"]).alias("passages"))
@@ -84,3 +75,13 @@ def rename_and_delete(index: DataFrame, renames: DataFrame, deletes: DataFrame)
 def key_lookup(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """C15."""
     return rows.join(keys.select(key), key, "left_semi")
+
+
+def distinct_titles(papers: DataFrame) -> DataFrame:
+    """Each title once, as a line of a list."""
+    return papers.filter(F.coalesce(F.trim("title"), F.lit("")) != "").select(F.concat(F.lit("- "), F.col("title")).alias("line")).distinct()
+
+
+def list_collections(collections: DataFrame) -> DataFrame:
+    """All, in the order of their ids."""
+    return collections.orderBy("id")

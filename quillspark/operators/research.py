@@ -27,12 +27,32 @@ def transitions(spark: SparkSession) -> DataFrame:
 
 
 def status_changes(events: DataFrame, entity: str, status: str, *order: str) -> DataFrame:
-    """Each change of an entity's status with the status before it (null at first)."""
+    """In a log, each change of an entity's status with the status before it (null at first)."""
     before = F.lag(status).over(Window.partitionBy(entity).orderBy(*order))
     rows = events.withColumn("from_status", before)
     return rows.filter(F.col("from_status").isNull() | (F.col("from_status") != F.col(status))).withColumnRenamed(status, "to_status")
 
 
+def event_log(before: DataFrame, after: DataFrame, entity_type: str, key: str, status: str = "status", by: DataFrame | None = None, actor: str = "system") -> DataFrame:
+    """One event for each record that two snapshots differ in: entity_type, entity_id, event_type, actor, before, after, approval_request_id.
+
+    before and after hold the record's columns as JSON, empty objects where it isn't there. A change of `status` is told
+    as such, whatever else changed. by(key, actor, approval_request_id) names who made a change and what allowed it,
+    at most one row a record; others have the given actor. Records that are equal in all columns give no event.
+    """
+    columns = sorted(c for c in after.columns if c != key)
+    packed = lambda df, name: df.select(F.col(key), F.struct(*columns).alias(name))
+    changed = packed(before, "b").join(packed(after, "a"), key, "full_outer").filter(~F.col("b").eqNullSafe(F.col("a")))
+    moved = ~F.col(f"b.{status}").eqNullSafe(F.col(f"a.{status}"))
+    kind = F.when(F.col("b").isNull(), "CREATED").when(F.col("a").isNull(), "DELETED").when(moved, "STATUS_CHANGED").otherwise("UPDATED")
+    who, approval = F.lit(None).cast("string"), F.lit(None).cast("string")
+    if by is not None:
+        changed = changed.join(by.select(key, F.col("actor").alias("_who"), F.col("approval_request_id").alias("_approval")), key, "left")
+        who, approval = F.col("_who"), F.col("_approval")
+    json = lambda c: F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit("{}"))
+    return changed.select(F.lit(entity_type).alias("entity_type"), F.col(key).cast("string").alias("entity_id"), kind.alias("event_type"), F.coalesce(who, F.lit(actor)).alias("actor"), json("b").alias("before"), json("a").alias("after"), approval.alias("approval_request_id"))
+
+
 def transition_audit(changes: DataFrame, allowed: DataFrame, initial: Column) -> DataFrame:
     """Changes whose move isn't allowed, and first rows not in the initial state."""
     first = changes.filter(F.col("from_status").isNull() & (F.col("to_status") != initial)).withColumn("reason", F.lit("initial"))
@@ -158,6 +178,37 @@ def new_rows(rows: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
     return rows.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti")
 
 
+def conclusion_support(conclusions: DataFrame, evidence_links: DataFrame, evidence: DataFrame, observation_links: DataFrame) -> DataFrame:
+    """conclusions(id) that nothing supports, or only models' hypotheses and people's notes: (id, reason).
+
+    evidence_links(id, evidence_id, role), of which those of role SUPPORTING count; evidence(evidence_id, evidence_type);
+    observation_links(id, observation_id).
+    """
+    # Kinds of evidence that can carry a conclusion.
+    strong = F.col("evidence_type").isin("LITERATURE", "EXPERIMENTAL", "DERIVED_ANALYSIS")
+    e = evidence_links.filter("role = 'SUPPORTING'").join(evidence.select("evidence_id", "evidence_type"), "evidence_id").groupBy("id").agg(F.count(F.lit(1)).alias("e"), F.count_if(strong).alias("strong"))
+    o = observation_links.groupBy("id").agg(F.count(F.lit(1)).alias("o"))
+    j = conclusions.select("id").join(e, "id", "left").join(o, "id", "left").na.fill(0, ["e", "strong", "o"])
+    reason = F.when(F.col("e") + F.col("o") == 0, "no support").when((F.col("o") == 0) & (F.col("strong") == 0), "only notes and hypotheses")
+    return j.select("id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def confirmed_imports(imports: DataFrame, approvals: DataFrame, runs: DataFrame) -> DataFrame:
+    """imports(import_id, experiment_id, payload_hash, approval_id) with the reason why one isn't taken, empty if it is.
+
+    approvals(approval_id, entity_id, action, approved_hash, status): its own must be approved, for its experiment and
+    its very payload. runs(import_hash): a payload that is there isn't taken again; of equal payloads the first is.
+    """
+    wanted = F.concat(F.lit("CONFIRM_RUN_IMPORT:"), F.substring("payload_hash", 1, 32))
+    held = approvals.select("approval_id", F.col("entity_id").alias("_entity"), "action", "approved_hash", F.col("status").alias("_status"))
+    there = runs.select(F.col("import_hash").alias("payload_hash")).distinct().withColumn("_there", F.lit(True))
+    j = imports.join(held, "approval_id", "left").join(there, "payload_hash", "left")
+    fits = (F.col("_entity") == F.col("experiment_id")) & (F.col("action") == wanted) & (F.col("approved_hash") == F.col("payload_hash")) & (F.col("_status") == "APPROVED")
+    first = F.row_number().over(Window.partitionBy("payload_hash", F.coalesce(fits, F.lit(False))).orderBy("import_id"))
+    reason = F.when(F.col("payload_hash").isNull() | ~F.coalesce(fits, F.lit(False)), "no matching approval").when(F.col("_there") | (F.col("_first") > 1), "payload exists").otherwise("")
+    return j.withColumn("_first", first).select("import_id", "experiment_id", "payload_hash", reason.alias("reason"))
+
+
 def completable(experiments: DataFrame, runs: DataFrame, observations: DataFrame) -> DataFrame:
     """H33."""
     r = runs.groupBy("experiment_id").agg(F.bool_and(F.col("status") == "COMPLETED").alias("all_done"))

@@ -105,12 +105,6 @@ def test_pending_and_backfill(spark):
     assert research.schema_audit({"s": "int", "t": "string"}, df) == [("s", "is string"), ("t", "missing")]
 
 
-def test_resolve_title(spark):
-    hints = spark.createDataFrame([(1, "deep person search"), (2, "zzz qqq")], "hint_id int, hint string")
-    papers = spark.createDataFrame([(1, "Person Search Deep Dive"), (2, "Deep Nets")], "id int, title string")
-    assert rows(catalog.resolve_title(hints, papers)) == [(1, 1, 1.0)]
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.pdf").write_bytes(b"nothing")
