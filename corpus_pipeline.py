@@ -43,13 +43,28 @@ def with_row_key(docs: DataFrame, **more: Column) -> tuple[DataFrame, str, list[
     return materialize(out, "rows"), key, names
 
 
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """rows but those whose keys are in gone(key): the keys become bitmaps, an eighth of a byte a row, which rows meet.
+
+    So texts stay in place wherever Spark finds the bitmaps small enough to send to all tasks, as it knows from the
+    written table; else rows are dealt by stretches of keys.
+    """
+    bucket, bits = free_name(rows, "bucket"), free_name(rows, "bits")
+    marked = materialize(gone.groupBy(F.bitmap_bucket_number(F.col(key)).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(key))).alias(bits)), "gone")
+    at = F.bitmap_bit_position(F.col(key)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_gone = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    met = rows.withColumn(bucket, F.bitmap_bucket_number(F.col(key))).join(marked, bucket, "left")
+    return met.filter(~F.coalesce(is_gone, F.lit(False))).select(rows.columns)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: the one with the largest doc_id, any one of rows that repeat it; one without an id only where none has one."""
     rows, key, (sha,) = with_row_key(docs, sha=F.sha2(F.coalesce("text", F.lit("")), 256))
     groups = exact_dedup.duplicate_groups(rows)
     firsts = rows.groupBy(F.col("doc_id").cast("long").alias("id"), F.col(sha).alias("text_sha")).agg(F.min(key).alias(key))  # repeats fold before they meet
     kept = firsts.join(groups, (firsts["text_sha"] == groups["text_sha256"]) & firsts["id"].eqNullSafe(groups["keep_id"])).select(key)
-    return rows.join(kept, key, "left_semi").select(docs.columns)
+    return without(rows, key, rows.select(key).join(kept, key, "left_anti")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +74,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ids = rows.select(key, F.col("doc_id").cast("long").alias("id"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(key))
     kept = groups.join(ids, key).groupBy("component_id").agg(F.min(order)[key].alias(key)).select(key)
-    return rows.join(kept, key, "left_semi").select(docs.columns)
+    return without(rows, key, rows.select(key).join(kept, key, "left_anti")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
