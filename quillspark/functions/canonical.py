@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-def canonical(text: str | None) -> str | None:
+def canonical(text: str) -> str | None:
     """JSON with keys in order at every depth, no spaces and no escapes; null for what isn't JSON."""
-    if text is None:
-        return None
     try:
         return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
     except ValueError:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """the canonical form of JSON text; see canonical()."""
     return text.map(canonical, na_action="ignore")
@@ -85,7 +85,8 @@ def parsed_import(text: str | None, kind: str) -> tuple:
             raise ValueError("seed must be a whole number")
         dumped = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
         fields = [dumped(raw.get(n) or {}) for n in NAMESPACES]
-        return raw["experiment_id"], raw.get("run_id") or None, seed, *fields, paths, dumped(raw), None, None
+        whole = dumped(raw)
+        return raw["experiment_id"], raw.get("run_id") or None, seed, *fields, paths, whole, hashlib.sha256(whole.encode()).hexdigest(), None
     except (ValueError, RecursionError) as e:
         return *[None] * 9, str(e)[:300]
 
@@ -100,4 +101,4 @@ def run_import(text: Column, kind: Column) -> Column:
     def parse(text: pd.Series, kind: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parsed_import(t, (k or "").lower().lstrip(".")) for t, k in zip(text, kind, strict=True)], columns=[f.split()[0] for f in IMPORT.split(", ")]).astype({"seed": "Int64"})
 
-    return parse(text, kind).withField("payload_hash", F.lit(None).cast("string"))
+    return parse(text, kind)

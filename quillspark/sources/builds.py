@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -44,7 +45,8 @@ class BuildWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, root = self._store()
         store.create_dir(f"{root}/{self.folder}", recursive=True)
-        name, rows, tally = f"{self.folder}/{uuid.uuid4().hex}.{self.suffix}", 0, Counter()
+        task = TaskContext.get()  # files are named by partition, so that their order is the rows'
+        name, rows, tally = f"{self.folder}/{task.partitionId():06d}-{uuid.uuid4().hex}.{self.suffix}", 0, Counter()
         with store.open_output_stream(f"{root}/{name}") as out:
             for row in iterator:
                 out.write((row[self.column or 0] + "\n").encode())
@@ -90,7 +92,7 @@ def write_build(lines: DataFrame, path: str, line: str = "line", tally: str | No
 
 def read_build(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a finished build; what its manifest doesn't name isn't read."""
-    manifest = spark.read.option("wholetext", True).text(f"{path}/manifest.json").first()[0]
+    manifest = spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0]
     files = [f"{path}/{name}" for name in json.loads(manifest)["files"]]
     return spark.read.text(files).withColumnRenamed("value", "line") if files else spark.createDataFrame([], "line string")
 
