@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import tempfile
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,9 @@ from quillspark.llm.common import Memo, by_size, kept, map_arrow, table
 
 #: Characters encoded together; bytes of ids that a task remembers, of parts and of words: two generations of so many.
 TOGETHER, REMEMBERED = 6_000_000, 64 << 20
-#: Words of up to so many bytes contract one pair a round. Of longer ones all places of a word's smallest pair are
-#: contracted in a round, so that a run of one letter takes few rounds, and a query does at most ROUNDS of them.
+#: Words of up to so many bytes contract one pair a round. Longer ones are cut where no token can lie on both sides.
+#: Of stretches that are still longer all places of the smallest pair are contracted in a round, so that a run of one
+#: letter takes few rounds, and a query does at most ROUNDS of them.
 LONGEST, ROUNDS = 256, 64
 
 _ENCODE = """
@@ -147,6 +149,7 @@ class SqlBpe:
 
         self.split, self.ranks = Splitter(pattern), read_ranks(path)
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
+        self.sorted, self.longest, self.reaches = sorted(self.ranks), max(map(len, self.ranks)), {}
         rows = [(ranks_l, ranks_r, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (ranks_l := self.ranks.get(token[:k])) is not None and (ranks_r := self.ranks.get(token[k:])) is not None]
         least: dict[int, int] = {}  # of the pairs that a token is part of
         for a, b, rank in rows:
@@ -167,18 +170,44 @@ class SqlBpe:
         pos = [p for ids in words.values() for p in range(len(ids))]
         self._table("words", {"w": pa.array(n, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array([i for ids in words.values() for i in ids], pa.int32())})
 
+    def _reach(self, ahead: bytes) -> int:
+        """The length of the longest token that these bytes begin with."""
+        if (found := self.reaches.get(ahead)) is None:
+            found, n = 1, 2
+            while n <= len(ahead) and (at := bisect_left(self.sorted, part := ahead[:n])) < len(self.sorted) and self.sorted[at].startswith(part):
+                if self.sorted[at] == part:
+                    found = n
+                n += 1
+            if len(self.reaches) > 20_000:
+                self.reaches.clear()
+            self.reaches[ahead] = found
+        return found
+
+    def stretches(self, word: bytes) -> list[bytes]:
+        """The word cut wherever no token lies on both sides: no contraction goes across, so each stretch is a word of its own."""
+        out, start, reach = [], 0, 0
+        for k in range(len(word)):
+            reach = max(reach, k + self._reach(word[k : k + self.longest]))
+            if reach == k + 1:
+                out.append(word[start:reach])
+                start = reach
+        return out
+
     def encode_words(self, words: list[bytes]) -> list[str]:
         """The ids of words that are matches of the pattern."""
-        out, short, long = [""] * len(words), {}, {}
+        out, cut, number = [""] * len(words), {}, {}
         for k, w in enumerate(words):
             if (whole := self.ranks.get(w)) is not None:  # as the library does
                 out[k] = str(whole)
             else:
-                (short if len(w) <= LONGEST else long)[k] = [self.byte_ids[b] for b in w]
+                cut[k] = [number.setdefault(x, len(number)) for x in (self.stretches(w) if len(w) > LONGEST else [w])]
+        found, short, long = [""] * len(number), {}, {}
+        for x, n in number.items():
+            (short if len(x) <= LONGEST else long)[n] = [self.byte_ids[b] for b in x]
         if short:
             self._give(short)
             self.con.execute(_ENCODE)
-            self._coded(out)
+            self._coded(found)
         if long:
             self._give(long)
             rounds = ROUNDS
@@ -186,7 +215,9 @@ class SqlBpe:
                 self.con.execute(_ENCODE_LONG.format(rounds=ROUNDS))
                 rounds = self.con.execute("SELECT max(it) FROM coded").fetchall()[0][0]
                 self.con.execute("CREATE OR REPLACE TEMP TABLE words AS SELECT w, pos, tok FROM coded")
-            self._coded(out)
+            self._coded(found)
+        for k, parts in cut.items():
+            out[k] = " ".join(map(found.__getitem__, parts))
         return out
 
     def _coded(self, out: list[str]) -> None:

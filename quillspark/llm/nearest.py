@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,21 +107,26 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     """The k nearest by cosine of each row whose id is divisible by `every`: query_id, rank, vec_id, score.
 
     Nearest first, ties to the smaller id; all candidates if there are fewer; a query's own row is no
-    candidate of its. Vectors that are null or zero, hold null or non-finite components, or haven't the
-    most common length take no part, nor do rows without an id. Equal vectors are searched once and then
-    stand for all their ids, so any number of copies is no burden. An id that repeats counts once for each of
-    its different vectors. An empty table gives no rows; other columns of df are neither read nor returned.
+    candidate of its. Vectors that are null or zero or hold null or non-finite components take no part, nor do
+    rows without an id. Vectors of each length are a table of their own, with lists of their own, since a cosine
+    needs equal lengths. Equal vectors are searched once and then stand for all their ids, so any number of
+    copies is no burden. An id that repeats counts once for each of its different vectors. An empty table gives
+    no rows; other columns of df are neither read nor returned.
     """
-    spark = df.sparkSession
     v = F.col(vector_col)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
     rows = df.filter(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") + 0.0).alias("v"))
-    widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not widths:
-        return spark.createDataFrame([], schema)
-    width = widths[0]["w"]
-    rows = rows.filter(F.size("v") == width)
+    widths = [r["w"] for r in rows.groupBy(F.size("v").alias("w")).count().orderBy("w").collect()]  # a row for each length of vectors
+    parts = [_of_width(rows.filter(F.size("v") == w), w, k, every) for w in widths]
+    return reduce(DataFrame.unionByName, parts, df.sparkSession.createDataFrame([], RESULT)) if len(parts) != 1 else parts[0]
+
+
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def _of_width(rows: DataFrame, width: int, k: int, every: int) -> DataFrame:
+    """nearest() of rows (id, v) whose vectors have `width` components."""
+    spark = rows.sparkSession
     ranked = rows.dropDuplicates(["v", "id"]).withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     groups = ranked.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
     to_bytes = lambda it: (pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.asarray(x).tobytes() for x in b.column(2).to_pylist()], pa.binary())], ["rep", "ids", "v"]) for b in it)
@@ -152,7 +158,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     probed = queries.select("rep", "v").mapInArrow(lists(probes, held), "rep long, v binary, lists array<int>").select("rep", "v", F.explode("lists").alias("list"))
     asking = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}
     if not asking:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], RESULT)
     parts = lambda found, most: F.create_map(*[x for key, size in sorted(found.items()) for x in (F.lit(key), F.lit(-(-size // most)))])[F.col("list")]
     blocks, query_blocks = parts(sizes, BLOCK), parts(asking, QUERY_BLOCK)
     block_of = lambda count: F.pmod(F.xxhash64("rep", "v"), count).cast("int")

@@ -6,6 +6,7 @@ import os
 import string
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -197,33 +198,59 @@ class Packing:
         self.sequences += count
         return self.sequences - count
 
-    def reduce(self) -> None:
-        """Fix sets that dominate every other choice for their largest piece.
-
-        With r the room beside the largest piece: nothing fits into r, the piece stays alone; the largest piece
-        that fits fills r exactly, or no two pieces fit into r together, that pair is fixed.
+    def _fix(self, pieces: list[int]) -> None:
+        """Sequences of exactly these pieces, until one length runs out."""
+        need = Counter(pieces)
+        n = min(self.left[k] // times for k, times in need.items())
+        at, offset = self._new(n), 0
+        for k, times in need.items():
+            self._put(k, n * times, at, times, offset)
+            offset += k * times
+
+    def _dominating(self, w: int) -> list[int] | None:
+        """The set with a piece w that is as good as any other: each other one's pieces fit where this one's are.
+
+        With r the room beside w and k the largest piece that fits: w alone if nothing fits; w and k if k fills r, if
+        no two pieces fit into r, or if no three do and no two that fit are together longer than k; w, k and the
+        largest piece l beside them if no three fit and no two longer than l do. Taking pieces away later leaves this
+        true, so a set may be fixed as often as there are pieces for it.
         """
-        for w in sorted(self.left, reverse=True):
-            while w in self.left:
-                n, room = self.left[w], self.capacity - w
-                sizes = sorted(k for k in self.left if k != w or n > 1)
-                at = bisect_left(sizes, room + 1) - 1
-                if at < 0:
-                    self._put(w, n, self._new(n), 1, 0)
-                    continue
-                j, smallest = sizes[at], sizes[0]
-                copies = self.left[smallest] - (smallest == w)
-                second = smallest if copies > 1 else sizes[1] if len(sizes) > 1 else self.capacity + 1
-                if j != room and smallest + second <= room:
+        room = self.capacity - w
+        sizes = sorted(k for k, n in self.left.items() if k <= room and n > (k == w))
+        if not sizes:
+            return [w]
+        k, copies = sizes[-1], {x: self.left[x] - (x == w) for x in sizes}
+
+        def smallest(of: list[int], n: int) -> list[int]:
+            found: list[int] = []
+            for x in of:
+                found += [x] * min(copies[x], n - len(found))
+                if len(found) == n:
                     break
-                if j == w:  # pairs of one length
-                    pairs = n // 2
-                    self._put(w, 2 * pairs, self._new(pairs), 2, 0)
-                    continue
-                pairs = min(n, self.left[j])  # until one runs out: the two smallest can only grow
-                at = self._new(pairs)
-                self._put(w, pairs, at, 1, 0)
-                self._put(j, pairs, at, 1, w)
+            return found
+
+        fits = lambda of, n: len(x := smallest(of, n)) == n and sum(x) <= room
+        if k == room or not fits(sizes, 2):
+            return [w, k]
+        if fits(sizes, 3):
+            return None
+        beside = [x for x in sizes if x <= room - k and copies[x] > (x == k)]
+        if beside:
+            return None if fits([x for x in sizes if x > beside[-1]], 2) else [w, k, beside[-1]]
+        low, high, best = 0, len(sizes) - 1, 0
+        while low <= high:  # the longest two that fit
+            if sizes[low] + sizes[high] > room or low == high and copies[sizes[low]] < 2:
+                high -= 1
+            else:
+                best = max(best, sizes[low] + sizes[high])
+                low += 1
+        return [w, k] if best <= k else None
+
+    def reduce(self) -> None:
+        """Fix dominating sets of one, two or three pieces for each length, from the largest down."""
+        for w in sorted(self.left, reverse=True):
+            while w in self.left and (pieces := self._dominating(w)):
+                self._fix(pieces)
 
     def best_fit(self) -> None:
         """Best-fit decreasing of what is left: each piece into the fullest sequence that has room for it."""

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.bpe_merge import contract
 from quillspark.llm.common import by_size, kept, map_arrow, table
 
-#: Characters of a chunk, characters read side by side, words whose sums a task keeps (two generations), and
-#: transitions that it keeps compiled.
-CHUNK, TOGETHER, KEPT, COMPILED = 256, 3_000_000, 250_000, 500_000
+#: Characters of a chunk, characters read side by side, bytes of words whose sums a task keeps (two generations),
+#: transitions that it keeps compiled, and pairs of tokens that it remembers.
+CHUNK, TOGETHER, KEPT, COMPILED, PAIRS = 256, 3_000_000, 40 << 20, 500_000, 300_000
 OVER = 512
 
 # Character classes of the split pattern.
@@ -142,15 +142,18 @@ class MergeMachine:
 
     def _token(self, content: bytes) -> int | None:
         """The token that these bytes merge into, if it is one."""
-        if content not in self.whole:
-            token = self.tokens.get(content)
-            self.whole[content] = token if token is not None and self._merged(content) == [token] else None
+        if (token := self.tokens.get(content)) is None:
+            return None
+        if content not in self.whole:  # never more than there are tokens
+            self.whole[content] = token if self._merged(content) == [token] else None
         return self.whole[content]
 
     def _follows(self, before: int | None, token: int) -> bool:
         if before is None:
             return True
         if (before, token) not in self.pair:
+            if len(self.pair) >= PAIRS:
+                self.pair.clear()
             self.pair[before, token] = self._merged(self.content[before] + self.content[token]) == [before, token]
         return self.pair[before, token]
 
@@ -197,12 +200,14 @@ class TokenCounter:
         self.code, (self.next, self.out) = character_classes(), splitter()
         self.new: dict[str, int] = {}
         self.old: dict[str, int] = {}
+        self.held = 0
 
     def words(self, words: set[str]) -> dict[str, int]:
         """The tokens of each word, by its path through the merge machine where they aren't known yet."""
-        if len(self.new) > KEPT:
-            self.old, self.new = self.new, {}
+        if self.held > KEPT:
+            self.old, self.new, self.held = self.new, {}, 0
         missing, old, count = words.difference(self.new), self.old, self.machine.count
+        self.held += sum(map(len, missing)) + 130 * len(missing)  # 130: of the objects
         self.new.update({w: old[w] for w in missing.intersection(old)})
         self.new.update({w: count(w.encode()) for w in missing.difference(old)})
         return self.new
