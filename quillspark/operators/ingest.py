@@ -113,12 +113,28 @@ def with_chunk_ord(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_ord", F.row_number().over(Window.partitionBy("doc").orderBy("section_no", "chunk_index")) - 1)
 
 
-def containment(keys: DataFrame, other: DataFrame) -> DataFrame:
-    """Share of each source's distinct keys met in each other source: keys(source, content_key), other likewise."""
+def containment(keys: DataFrame, other: DataFrame, least: float = 0.0) -> DataFrame:
+    """Share of each source's distinct keys met in each other source: keys(source, content_key), other likewise.
+
+    With `least` only shares of that much are looked for: such an owner has one at least of the source's rarest
+    keys, so keys that very many sources hold propose no pairs.
+    """
     a, b = keys.distinct(), other.select(F.col("source").alias("owner"), "content_key").distinct()
     n = a.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    shared = a.join(b, "content_key").filter("source <> owner").groupBy("source", "owner").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(n, "source").select("source", "owner", "shared", "n", (F.col("shared") / F.col("n")).alias("ratio"))
+    if least > 0:
+        held = b.groupBy("content_key").agg(F.count(F.lit(1)).alias("df"))
+        rarest = Window.partitionBy("source").orderBy("df", "content_key")
+        known = a.join(held, "content_key").join(n, "source").withColumn("r", F.row_number().over(rarest))
+        # Of the n keys so many may be missing; keys that no owner has come first among the rarest.
+        known = known.withColumn("missing", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("source")))
+        asks = known.filter(F.col("r") + F.col("missing") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("source", "content_key")
+        pairs = asks.join(b, "content_key").filter("source <> owner").select("source", "owner").distinct()
+        met = pairs.join(a, "source").join(b, ["owner", "content_key"])
+    else:
+        met = a.join(b, "content_key").filter("source <> owner")
+    shared = met.groupBy("source", "owner").agg(F.count(F.lit(1)).alias("shared"))
+    found = shared.join(n, "source").select("source", "owner", "shared", "n", (F.col("shared") / F.col("n")).alias("ratio"))
+    return found.filter(F.col("ratio") >= least) if least > 0 else found
 
 
 def batch_duplicates(keys: DataFrame, least: float = DUPLICATE_SHARE, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
@@ -127,7 +143,7 @@ def batch_duplicates(keys: DataFrame, least: float = DUPLICATE_SHARE, checkpoint
     Rounds: a source all of whose earlier holders are dropped is kept, one with a kept earlier holder is
     dropped; each round settles the earliest unsettled sources. Returns source, owner (null: kept).
     """
-    held = containment(keys, keys).filter((F.col("ratio") >= least) & (F.col("owner") < F.col("source"))).select("source", "owner")
+    held = containment(keys, keys, least).filter(F.col("owner") < F.col("source")).select("source", "owner")
     settled = keys.select("source").distinct().join(held.select("source"), "source", "left_anti").select("source", F.lit(None).cast(dict(keys.dtypes)["source"]).alias("kept_by"))
     open_ = checkpoint(held)
     while open_.take(1):
@@ -145,7 +161,7 @@ def batch_duplicates(keys: DataFrame, least: float = DUPLICATE_SHARE, checkpoint
 
 def library_owner(new: DataFrame, library: DataFrame, least: float = DUPLICATE_SHARE) -> DataFrame:
     """The stored source that holds most of a new one's keys, if it holds half."""
-    best = containment(new, library).groupBy("source").agg(F.max(F.struct("shared", F.col("owner"))).alias("b"), F.first("n").alias("n"))
+    best = containment(new, library, least).groupBy("source").agg(F.max(F.struct("shared", F.col("owner"))).alias("b"), F.first("n").alias("n"))
     return best.filter(F.col("b.shared") / F.col("n") >= least).select("source", F.col("b.owner").alias("owner"), (F.col("b.shared") / F.col("n")).alias("ratio"))
 
 

@@ -134,8 +134,8 @@ def source_snippets(t):
     """A source's documents as the chunks of one work."""
     from pyspark.sql import Window
 
-    c = t.documents.select(F.col("source").alias("title"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("n"), F.col("text").alias("content"))
-    return ev.paper_snippets(c)
+    c = t.documents.select(F.col("source").alias("title"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("n"), F.col("doc_id").alias("doc"))
+    return ev.paper_snippets(c, t.documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("content")))
 
 
 @query("SELECT lang, count(*) AS judged, round(avg(quality), 6) AS quality_rate, round(avg(toxic), 6) AS toxic_rate, count(*) FILTER (quality = 1 AND toxic = 0) AS clean FROM documents JOIN labels USING (doc_id) GROUP BY 1")
@@ -155,4 +155,4 @@ def threshold_calibrate(t):
 @query("SELECT count(*) AS papers, sum(n_chars)::BIGINT AS chunks FROM documents")
 def corpus_fingerprint(t):
     """E10."""
-    return t.documents.agg(F.count(F.lit(1)).alias("papers"), F.sum("n_chars").alias("chunks"))
+    return ev.corpus_fingerprint(t.documents, "n_chars")

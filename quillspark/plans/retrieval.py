@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import STOPWORDS, norm_for_match
 from quillspark.operators import evaluate as ev
 from quillspark.operators import retrieval as rt
+from quillspark.operators.segments import shared_index
 from quillspark.plans.registry import registry
 
 QUERIES, SQL, query = registry()
@@ -37,7 +38,7 @@ hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC,
 
 
 def _index(t):
-    return rt.bm25_index(t.documents, "doc_id", "text")
+    return shared_index(t.documents, "doc_id", "text")
 
 
 def _bm25(t):
