@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions.text import has_cjk_or_kana
 
+# The forms of a citation of a page, characters before one, pages an answer.
 _CITATION = re.compile(r"p\.(\d{1,3})|第\s*(\d{1,3})\s*页")
 HINT, CITATIONS = 120, 6
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Ligatures and their letters, and the dashes that read as a hyphen.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
@@ -28,7 +32,9 @@ BARE = r"(?:结论\s*[:：]\s*\*{0,2}\s*|^\*{0,2}\s*)(?:不是|并非|未|没有
 EXCLUSION = r"(?:不是|并非|并未|未|没有|不用|不使用)\s*\*{0,2}\s*(?:是|由|用|采用|使用|借助|通过|生成|涉及|包含)"
 COVERAGE = r"(?:未|没有|无|没有任何)[^。；;，]{0,10}(?:提及|提到|说明|报道|记载|记录|检索到|找到|证据|覆盖|涉及)|(?:知识库|语料|材料|文献)[^。；，]{0,8}(?:没有|未|无)"
 SCOPE = "知识库|语料|材料|文献|检索|文档中|已索引"
+# The form of an identifier of submission.
 ARXIV = r"(?<!\d)(\d{2})(0[1-9]|1[0-2])\.\d{4,5}(?:v\d+)?(?!\d)"
+# Names of a paper's states.
 STATUS_NAMES = {0: "pending", 1: "indexed", 2: "failed", 3: "indexing"}
 
 
@@ -182,11 +188,26 @@ def safe_name(name: Column | str, longest: int = 120) -> Column:
     return F.concat(F.substring(base, F.lit(1), F.least(F.length(base) - F.length(ext), longest - F.length(ext))), ext)
 
 
+@F.pandas_udf(StringType())
+def html_unescaped(text: pd.Series) -> pd.Series:
+    """All named and numbered entities of HTML as characters."""
+    return text.map(html.unescape, na_action="ignore")
+
+
 def auto_title(metadata: Column | str, filename: Column | str) -> Column:
     """A real embedded title, else the file's stem without ' (n)' and underscores."""
-    found = F.trim(F.replace(F.replace(F.replace(_col(metadata), F.lit("&amp;"), F.lit("&")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")))
-    stem = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(filename), r"\.[^.]*$", ""), r"\s*\(\d+\)$", ""), "_+", " "))
-    return F.when((F.length(found) > 0) & (F.lower(found) != "none"), found).otherwise(stem)
+    return resolved_title(F.lit(None).cast("string"), metadata, filename)["title"]
+
+
+def resolved_title(manual: Column | str, metadata: Column | str, filename: Column | str) -> Column:
+    """struct(title, origin): the title given by hand, else the embedded one unless it is blank or `none`, else the file's name."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    found = strip(html_unescaped(_col(metadata)))
+    base = F.regexp_replace(_col(filename), r"^.*/", "")
+    stem = strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), r"\s*\(\d+\)$", ""), "_+", " "))
+    real = (F.length(found) > 0) & (F.lower(found) != "none")
+    made = lambda title, origin: F.struct(title.alias("title"), F.lit(origin).alias("origin"))
+    return F.when(F.length(strip(_col(manual))) > 0, made(strip(_col(manual)), "manual")).when(real, made(found, "metadata")).otherwise(made(stem, "filename"))
 
 
 def digit_share(text: Column | str) -> Column:
@@ -194,12 +215,6 @@ def digit_share(text: Column | str) -> Column:
     return F.length(F.regexp_replace(_col(text), r"(?U)[^\d]", "")) / F.greatest(F.length(_col(text)), F.lit(1))
 
 
-def canonical_hash(value: Column | str) -> Column:
-    """SHA-256 of a map's JSON with its keys in order; the same form on both sides of a comparison."""
-    entries = F.array_sort(F.map_entries(_col(value)))
-    return F.sha2(F.to_json(F.map_from_entries(entries)), 256)
-
-
 def parse_sources(output: Column | str) -> Column:
     """title, prefix, page and score of each source block of a tool's output."""
     pattern = r"(?m)^\[source \d+ \| (.+?) \| (p|sec|blk)\.(\S+?) \| (?:relevance ([0-9.]+))?[^\]\n]*\]"

@@ -191,9 +191,18 @@ def delete_documents(chunks: DataFrame, papers: DataFrame, asked: DataFrame, for
 
 
 def manifest_sync(manifest: DataFrame, current: DataFrame) -> DataFrame:
-    """Files of this run with their human fields kept and automatic ones renewed."""
-    human = manifest.select("file", "title", "authors", "venue", "year", "external_id")
-    return current.join(human, "file", "left")
+    """current(file, auto_title, auto_source) with what people filled into the manifest, blank where they didn't.
+
+    `_auto` and `_auto_source` are renewed; `misplaced` tells a file without a title whose stored `_auto` isn't what
+    is derived now, as if it had been edited by hand. Files that aren't there any more leave the manifest.
+    """
+    # The fields that people fill.
+    human = ["title", "authors", "venue", "year", "external_id"]
+    told = manifest.select("file", *human, F.col("_auto").alias("_was") if "_auto" in manifest.columns else F.lit(None).cast("string").alias("_was"))
+    j = current.join(told, "file", "left")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    title, was = F.trim(blank("title")), F.trim(F.coalesce("_was", F.lit("")))
+    return j.select("file", title.alias("title"), *[blank(c).alias(c) for c in human[1:]], F.col("auto_title").alias("_auto"), F.col("auto_source").alias("_auto_source"), ((title == "") & (was != "") & (was != F.col("auto_title"))).alias("misplaced"))
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:

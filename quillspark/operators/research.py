@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -165,12 +167,18 @@ def workflow_gates(counts: DataFrame) -> DataFrame:
     return counts.select("question", stages.alias("g")).select("question", "g.stage", "g.open")
 
 
-def search_specs(questions: DataFrame) -> DataFrame:
-    """H1: questions(question_id, hypothesis_id, text, optional) -> one search a channel."""
-    # Intents and the relation that each looks for.
-    channels = [("PRIMARY", "SUPPORT"), ("CONTRADICTION", "CONTRADICT"), ("LIMITATION", "LIMITATION")]
-    spec = F.explode(F.array(*[F.struct(F.lit(a).alias("intent"), F.lit(b).alias("relation")) for a, b in channels])).alias("s")
-    return questions.select("question_id", "hypothesis_id", "text", spec).select("question_id", "hypothesis_id", "s.intent", "s.relation", "text")
+def search_specs(hypotheses: DataFrame, contradiction: bool = True, limitation: bool = True) -> DataFrame:
+    """H1: hypotheses(question_id, hypothesis_id, title, description, statement) -> one search a channel, with its query; the last two may be left out."""
+    # Intents, the relation that each looks for, and what its query adds.
+    channels = [
+        ("PRIMARY", "SUPPORT", ""),
+        ("CONTRADICTION", "CONTRADICT", ". Contrary evidence: failure limitation instability false negative overfitting negative transfer counterexample no improvement"),
+        ("LIMITATION", "LIMITATION", ". Scope and limitations: limitations boundary conditions sensitivity dataset bias confounder generalization reproducibility"),
+    ]
+    wanted = [c for c, take in zip(channels, (True, contradiction, limitation), strict=True) if take]
+    spec = F.explode(F.array(*[F.struct(F.lit(a).alias("intent"), F.lit(b).alias("relation"), F.lit(c).alias("more")) for a, b, c in wanted])).alias("s")
+    base = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("description", F.lit("")), F.lit(". Hypothesis: "), F.coalesce("statement", F.lit("")))
+    return hypotheses.select("question_id", "hypothesis_id", base.alias("base"), spec).select("question_id", "hypothesis_id", "s.intent", "s.relation", F.concat("base", "s.more").alias("text"))
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
@@ -230,10 +238,29 @@ def provenance_nodes(edges: DataFrame) -> DataFrame:
     return edges.select("root", F.explode(F.array("from", "to")).alias("id")).distinct()
 
 
-def schema_audit(expected: dict[str, str], df: DataFrame) -> list[tuple[str, str]]:
-    """(column, problem) of a table against column -> type."""
-    have = dict(df.dtypes)
-    return [(c, "missing" if c not in have else f"is {have[c]}") for c, t in sorted(expected.items()) if have.get(c) != t]
+def schema_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, type, length) of tables: length is that of a bounded text, else null."""
+    rows = []
+    for name, df in sorted(tables.items()):
+        for field in df.schema:
+            kind = (field.metadata or {}).get("__CHAR_VARCHAR_TYPE_STRING", field.dataType.simpleString())
+            bound = re.fullmatch(r"(?:var)?char\((\d+)\)", kind)
+            rows.append((name, field.name, "string" if bound else kind, int(bound[1]) if bound else None))
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table string, column string, type string, length int")
+
+
+def schema_audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """What of expected(table, column, type, length) the actual tables don't hold: (table, column, problem); nothing if they are compatible.
+
+    Only texts are compared in length, where both are bounded.
+    """
+    there = actual.select("table").distinct()
+    missing_tables = expected.select("table").distinct().join(there, "table", "left_anti").select("table", F.lit(None).cast("string").alias("column"), F.lit("missing table").alias("problem"))
+    held = actual.select("table", "column", F.col("type").alias("_type"), F.col("length").alias("_length"), F.lit(True).alias("_there"))
+    j = expected.join(there, "table", "left_semi").join(held, ["table", "column"], "left")
+    short = F.col("length") > F.col("_length")
+    problem = F.when(F.col("_there").isNull(), "missing column").when(F.col("type") != F.col("_type"), F.concat(F.lit("is "), "_type")).when(short, F.concat(F.lit("holds "), F.col("_length").cast("string"), F.lit(" of "), F.col("length").cast("string"), F.lit(" characters")))
+    return missing_tables.unionByName(j.select("table", "column", problem.alias("problem")).filter("problem IS NOT NULL"))
 
 
 def schema_backfill(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:

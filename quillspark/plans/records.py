@@ -131,10 +131,11 @@ def papers_for_year(t):
     return catalog.papers_for_year(_papers(t), 2010).select("source_file", F.col("year").cast("long").alias("year"))
 
 
-@query(f"WITH p AS ({_PAPER}) SELECT doc_id AS id, '- ' || t || ' (' || coalesce(y::VARCHAR, 'n.d.') || ', ' || CASE status WHEN 0 THEN 'pending' WHEN 1 THEN 'indexed' WHEN 2 THEN 'failed' ELSE 'indexing' END || ')' AS line FROM p")
+@query(f"WITH p AS ({_PAPER}), y AS (SELECT doc_id, t, lang, {_YEAR.format(y='y,')} AS year FROM p) SELECT doc_id AS id, t || coalesce('  (' || year || ')', '') || '  | ' || lang || '  | ' || doc_id % 7 || ' chunks indexed' AS line FROM y")
 def paper_lines(t):
-    """C4."""
-    return catalog.paper_listing_text(_papers(t).withColumnRenamed("doc_id", "id"))
+    """C4: documents as papers, their language as the venue."""
+    p = _papers(t).join(t.documents.select("doc_id", F.col("lang").alias("venue")), "doc_id")
+    return catalog.paper_listing_text(p.select(F.col("doc_id").alias("id"), "title", "source_file", "year", "venue", F.lit("").alias("authors"), (F.col("doc_id") % 7).alias("chunk_count")))
 
 
 @query(r"SELECT doc_id, TRY_CAST(left(trim('  ' || (1900 + doc_id % 200) || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '-05' END), 4) AS INTEGER) AS year FROM documents")
@@ -290,10 +291,14 @@ def stratified_cap(t):
     return ev.stratified_cap(t.labels, "doc_id", F.col("quality") == 0, 200, 5).select("doc_id", "quality")
 
 
-@query("SELECT n_nationkey AS question_id, n_regionkey AS hypothesis_id, unnest(['PRIMARY', 'CONTRADICTION', 'LIMITATION']) AS intent, unnest(['SUPPORT', 'CONTRADICT', 'LIMITATION']) AS relation, n_name AS text FROM nation")
+_SPEC = "p_name || '. ' || p_type || '. Hypothesis: ' || p_brand"
+
+
+@query(f"""SELECT p_partkey AS question_id, p_size AS hypothesis_id, unnest(['PRIMARY', 'CONTRADICTION', 'LIMITATION']) AS intent, unnest(['SUPPORT', 'CONTRADICT', 'LIMITATION']) AS relation,
+    unnest([{_SPEC}, {_SPEC} || '. Contrary evidence: failure limitation instability false negative overfitting negative transfer counterexample no improvement', {_SPEC} || '. Scope and limitations: limitations boundary conditions sensitivity dataset bias confounder generalization reproducibility']) AS text FROM part""")
 def search_specs(t):
-    """H1."""
-    return rs.search_specs(t.nation.select(F.col("n_nationkey").alias("question_id"), F.col("n_regionkey").alias("hypothesis_id"), F.col("n_name").alias("text")))
+    """H1: parts as hypotheses."""
+    return rs.search_specs(t.part.select(F.col("p_partkey").alias("question_id"), F.col("p_size").alias("hypothesis_id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.col("p_brand").alias("statement")))
 
 
 @query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import safe_name
+from quillspark.operators.retrieval import vector_topk
 
 # Registered extensions with their kind, locator prefix and leading bytes.
 FORMATS = [(".pdf", "page", "p", "%PDF-"), (".md", "section", "sec", ""), (".markdown", "section", "sec", ""), (".docx", "section", "sec", "PK"), (".txt", "block", "blk", ""), (".text", "block", "blk", "")]
@@ -62,12 +63,29 @@ def read_runs(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select("experiment_id", "run_id", F.col("seed").cast("int").alias("seed") if "seed" in rows.columns else F.lit(None).cast("int").alias("seed"), gather("config.", "string").alias("config"), gather("metrics.", "double").alias("metrics"), gather("environment.", "string").alias("environment"), F.filter(F.split("artifact_paths", ";"), lambda x: x != "").alias("artifact_paths"))
 
 
+def point_id(name: Column) -> Column:
+    """The UUID of version 5 of a name in the namespace of addresses."""
+    # The namespace; digits of the variant.
+    digest = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), name.cast("binary")))
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
 def export_vectors(chunks: DataFrame, path: str) -> int:
-    """Write chunks under ids made from their own (UUID version 5 in form) and fail unless all arrive."""
-    h = F.sha1(F.concat(F.lit("chunk:"), F.col("chunk_id")).cast("binary"))
-    point = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
-    chunks.withColumn("point_id", point).write.mode("overwrite").parquet(path)
+    """Write chunks under point_id of their own, and fail unless all arrive."""
+    chunks.withColumn("point_id", point_id(F.col("chunk_id"))).write.mode("overwrite").parquet(path)
     there, wanted = chunks.sparkSession.read.parquet(path).count(), chunks.count()
     if there != wanted:
         raise ValueError(f"{there} of {wanted} rows arrived")
     return there
+
+
+def export_differences(chunks: DataFrame, path: str, queries: DataFrame, k: int = 3) -> DataFrame:
+    """The k nearest of queries(query_id, v) among the chunks and among their copies: places at which they differ, with both scores."""
+
+    def nearest(df: DataFrame, score: str) -> DataFrame:
+        items = df.select(F.xxhash64("chunk_id").alias("doc"), F.col("embedding").alias("v"))
+        return vector_topk(queries, items, k).select("query_id", "rank", F.col("doc").alias(f"{score}_doc"), F.col("score").alias(score))
+
+    j = nearest(chunks, "here").join(nearest(chunks.sparkSession.read.parquet(path), "there"), ["query_id", "rank"], "full_outer")
+    return j.filter(~F.col("here_doc").eqNullSafe(F.col("there_doc")) | ~F.col("here").eqNullSafe(F.col("there"))).select("query_id", "rank", "here", "there")

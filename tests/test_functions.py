@@ -56,6 +56,9 @@ def test_names(spark):
     assert len(one(spark, "x" * 300 + ".pdf", tx.safe_name)) == 120
     assert one(spark, "my_paper (2).pdf", lambda x: tx.auto_title(F.lit("None"), x)) == "my paper"
     assert one(spark, 7, tx.status_text, "int") == "unknown"
+    title = lambda manual, metadata, name: tuple(one(spark, name, lambda x: tx.resolved_title(F.lit(manual), F.lit(metadata), x)))
+    assert title(" Own ", "Meta", "f.pdf") == ("Own", "manual") and title("", "Caf&eacute; &#8212; x ", "f.pdf") == ("Café — x", "metadata")
+    assert title(None, " none", "a/b__c (3).tar.pdf") == ("b c (3).tar", "filename") and title(None, None, "v_1 (12).pdf") == ("v 1", "filename")
 
 
 def test_sources(spark):

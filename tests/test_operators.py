@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.operators import catalog, ingest, research
 from quillspark.operators import evaluate as ev
@@ -102,7 +103,12 @@ def test_pending_and_backfill(spark):
     df = spark.createDataFrame([(None,), ("",), ("PROPOSED",), ("CONFIRMED",)], "s string")
     assert [r[0] for r in df.select(research.pending_review(F.col("s"))).collect()] == [True, True, True, False]
     assert research.schema_backfill(df, {"n": ("int", 3)}).select("n").distinct().collect()[0][0] == 3
-    assert research.schema_audit({"s": "int", "t": "string"}, df) == [("s", "is string"), ("t", "missing")]
+    expected = spark.createDataFrame([("a", "s", "int", None), ("a", "t", "string", 9), ("b", "x", "int", None), ("a", "v", "string", 300), ("a", "w", "string", 9)], "table string, column string, type string, length int")
+    bounded = lambda name, n: T.StructField(name, T.StringType(), True, {"__CHAR_VARCHAR_TYPE_STRING": f"varchar({n})"})
+    tables = {"a": spark.createDataFrame([], T.StructType([T.StructField("s", T.StringType()), bounded("v", 200), bounded("w", 9)]))}
+    found = sorted(map(str, map(tuple, research.schema_audit(expected, research.schema_rows(tables)).collect())))
+    assert found == sorted(map(str, [("a", "s", "is string"), ("a", "t", "missing column"), ("b", None, "missing table"), ("a", "v", "holds 200 of 300 characters")]))
+    assert research.schema_audit(research.schema_rows(tables), research.schema_rows(tables)).count() == 0
 
 
 def test_files(spark, tmp_path):
@@ -164,4 +170,28 @@ def test_repeatability_and_export(spark, tmp_path):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "item int, doc string, rank int")
     b = spark.createDataFrame([(1, "x", 1), (1, "z", 2)], "item int, doc string, rank int")
     assert rows(ev.run_repeatability(a, b)) == [(1, False, 0.5)] and rows(ev.run_repeatability(a, a)) == [(1, True, 1.0)]
-    assert files.export_vectors(spark.createDataFrame([("CH-1", [1.0])], "chunk_id string, embedding array<float>"), str(tmp_path / "v")) == 1
+    import uuid
+
+    chunks = spark.createDataFrame([(f"CH-{n}", [float(n), n % 3 - 1.0]) for n in range(20)], "chunk_id string, embedding array<float>")
+    assert files.export_vectors(chunks, str(tmp_path / "v")) == 20
+    assert {r.chunk_id: r.point_id for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {f"CH-{n}": str(uuid.uuid5(uuid.NAMESPACE_URL, f"CH-{n}")) for n in range(20)}
+    queries = spark.createDataFrame([(1, [3.0, 0.0]), (2, [9.5, 1.0])], "query_id long, v array<double>")
+    assert files.export_differences(chunks, str(tmp_path / "v"), queries).count() == 0
+    chunks.withColumn("embedding", F.when(F.col("chunk_id") == "CH-3", F.array(F.lit(90.0), F.lit(0.0))).otherwise(F.col("embedding"))).write.parquet(str(tmp_path / "w"))
+    assert {r.query_id for r in files.export_differences(chunks, str(tmp_path / "w"), queries).collect()} == {1}
+
+
+def test_manifest_and_retry(spark):
+    manifest = spark.createDataFrame([("a", " By hand ", "X", None, 2020, None, "old"), ("b", "", None, None, None, None, "edited"), ("gone", "t", None, None, None, None, None)], "file string, title string, authors string, venue string, year int, external_id string, _auto string")
+    current = spark.createDataFrame([("a", "Auto A", "filename"), ("b", "Auto B", "metadata"), ("c", "Auto C", "filename")], "file string, auto_title string, auto_source string")
+    got = {r.file: r for r in ingest.manifest_sync(manifest, current).collect()}
+    assert set(got) == {"a", "b", "c"} and (got["a"].title, got["a"].year, got["a"].authors, got["a"]["_auto"], got["a"].misplaced) == ("By hand", "2020", "X", "Auto A", False)
+    assert got["b"].misplaced and not got["c"].misplaced and got["c"].title == ""
+    asked = spark.createDataFrame([(1, "insufficient", 1, ["x"]), (2, "insufficient", 3, []), (3, "absent", 1, []), (4, "insufficient", 2, [])], "id int, status string, round int, missing array<string>")
+    assert {r.id: r.reason for r in ev.retry_selection(asked).collect()} == {1: "MISSING FACETS", 4: "LOW RELEVANCE"}
+
+
+def test_listing(spark):
+    papers = spark.createDataFrame([(1, "A", "2301.00001.pdf", None, "V", "B, C", 3, 1), (2, "T 1999", "x", None, None, "", None, 2)], "id int, title string, source_file string, year int, venue string, authors string, chunk_count int, collection_id int")
+    assert rows(catalog.paper_listing_text(papers), "id") == [(1, "A  (2023)  | V  | B, C  | 3 chunks indexed"), (2, "T 1999  (1999)  | 0 chunks indexed")]
+    assert rows(catalog.paper_listing_text(papers, 2)) == [(2, "T 1999  (1999)  | 0 chunks indexed")]
