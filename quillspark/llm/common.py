@@ -160,6 +160,11 @@ def first_by_hash(df: DataFrame, limit: int, *hashed: str) -> list[Row]:
     return df.orderBy(*order).limit(limit).collect()
 
 
+def salts(rows: int) -> int:
+    """Sub-groups for number_rows, so that none of a key with so many rows has more than about 250,000."""
+    return max(64, -(-rows // 250_000))
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, salt_from: list[str], salts: int) -> DataFrame:
     """Number the rows of each key from 0 without gaps, also when one key has most rows.
 

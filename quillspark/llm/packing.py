@@ -16,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Memo, kept, map_arrow, materialize, number_rows, table
+from quillspark.llm.common import Memo, kept, map_arrow, materialize, number_rows, salts, table
 
 CAPACITY = 2048
-SALTS = 64
 #: Bytes of ids that a task remembers, with their parts of texts: two generations of so many; the older goes first.
 REMEMBERED = 64 << 20
 #: Bytes of text that are taken apart at once; longer texts are cut behind a blank.
@@ -311,7 +310,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: s
         by_length[r.length].append((r.first, r.first + r.count, r.sequence, r.each, r.offset))
     run_type = "array<struct<a:bigint,b:bigint,sequence:bigint,each:int,offset:int>>"
     plan = df.sparkSession.createDataFrame([(k, v) for k, v in sorted(by_length.items())], f"length bigint, runs {run_type}")
-    numbered = number_rows(pieces, ["length"], ["doc_id", "piece"], "rank", ["doc_id", "piece"], SALTS)
+    numbered = number_rows(pieces, ["length"], ["doc_id", "piece"], "rank", ["doc_id", "piece"], salts(max(counts.values(), default=0)))
     run = F.filter("runs", lambda r: (F.col("rank") >= r["a"]) & (F.col("rank") < r["b"]))[0]
     placed = numbered.join(F.broadcast(plan), "length").withColumn("run", run)
     within = F.col("rank") - F.col("run.a")

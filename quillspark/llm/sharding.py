@@ -6,13 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, number_rows, table
+from quillspark.llm.common import materialize, number_rows, salts, table
 
 #: Hex digits of a group's key that the first summary is grouped by: at most 4,096 rows reach the driver.
 FIRST_DIGITS = 3
 #: A summary row is opened by one more digit, into at most 16, only where a cut may fall.
 MAX_OPEN = 4096
-SALTS = 64
 
 
 def greedy_ends(sums: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -136,7 +135,7 @@ def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     for n, key in enumerate(own):
         shard = F.when(F.col("key") == key, F.lit(shards - 1 - n)).otherwise(shard)
     placed = rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.cast("int").alias("shard"))
-    return number_rows(placed, ["shard"], ["doc_id", "text_crc32"], "slot", ["doc_id", "text_crc32"], SALTS).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return number_rows(placed, ["shard"], ["doc_id", "text_crc32"], "slot", ["doc_id", "text_crc32"], salts(rows.count())).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
