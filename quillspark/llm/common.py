@@ -109,15 +109,19 @@ BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python batches of at most BATCH_BYTES, unless less is set."""
+    held = spark.conf.get(_BATCH_SETTING, None)
+    if held is None or not (size := re.fullmatch(r"(\d+)b?", held)) or not 0 < int(size[1]) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema, keep: str | None = None) -> DataFrame:
-    """df.mapInArrow(run, schema) by batches of at most BATCH_BYTES, which it sets for the session unless less is set.
+    """df.mapInArrow(run, schema) by batches of at most BATCH_BYTES, a setting of the session that it makes.
 
     At its start a task lets go of what operators other than `keep` kept, and at its end of unused memory.
     """
-    spark = df.sparkSession
-    held = spark.conf.get(_BATCH_SETTING, None)
-    if held is None or not (size := re.fullmatch(r"(\d+)b?", held)) or not 0 < int(size[1]) <= BATCH_BYTES:
-        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+    bound_batches(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in [n for n in _kept if n != keep]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import first_by_hash, materialize, table
+from quillspark.llm.common import bound_batches, first_by_hash, materialize, table
 
 #: Bound of the sample that lists, rotation and number of probes are fitted on; every vector is indexed.
 SAMPLE, MAX_LISTS, PROBE_QUERIES, PROBE_RECALL = 20_000, 1024, 200, 0.97
@@ -113,6 +113,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     copies is no burden. An id that repeats counts once for each of its different vectors. An empty table gives
     no rows; other columns of df are neither read nor returned.
     """
+    bound_batches(df.sparkSession)
     v = F.col(vector_col)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
     rows = df.filter(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") + 0.0).alias("v"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, sorted_groups, table
+from quillspark.llm.common import bound_batches, materialize, sorted_groups, table
 
 ROLES = ("assistant", "system", "user")
 #: States: each role beginning a turn, then each role inside one.
@@ -264,8 +264,14 @@ def recover(conversations: DataFrame) -> DataFrame:
     """Raw transcripts of all conversations, their roles recovered: parse()'s columns and held_out (crc32 of the id mod 3 is 1).
 
     Roles are learnt only where the conversation isn't held out, and only lines and their order are read in
-    decoding. Turns that repeat a number come in the order of a hash, each with its lines together. An empty table gives no rows.
+    decoding. Turns that repeat a number come in the order of a hash, each with its lines together; rows that
+    repeat are turns of their own. A null text is an empty line, a turn without a number is taken as turn 0, rows
+    without a conversation are one of number -1. A null role, or one that isn't system, user or assistant, is
+    not learnt from, and its turn is read as one of these three. Lines may be of any length: a task holds a
+    block of them, 512 lines, at a time. An empty table gives no rows; columns other than conv_id, turn, role and
+    text, whatever their names, are neither read nor returned.
     """
+    bound_batches(conversations.sparkSession)
     lines = transcript_lines(conversations)
     held = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(3)) == 1
     model = fit(lines.filter(~held))

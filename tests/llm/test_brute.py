@@ -136,3 +136,22 @@ def test_nearest_of_several_widths(spark):
         hits += len({i for _, i in near} & {i for _, i in mine})
         assert len(mine) == 5
     assert hits >= 36
+
+
+def test_transcripts_with_clashing_columns_and_odd_roles(spark):
+    rows = [(c, n, r, f"Line {n} of {c}.", 7, "x", 1) for c in range(30) for n, r in enumerate(["system", "user", "assistant", "tool", None, "user"])]
+    rows += [(None, None, "user", None, 1, "y", 2), (3, 1, "user", "Line 1 of 3.", 7, "x", 1), (4, 9, "user", "long " * 50_000, 7, "x", 1)]
+    got = transcripts.recover(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int, line string, block int")).collect()
+    assert {r.role for r in got} <= set(transcripts.ROLES) and {r.conv_id for r in got} == {*range(30), -1}
+    whole = "".join(r.turn for r in sorted((r for r in got if r.conv_id == 4), key=lambda r: (r.block, r.seq)))
+    assert whole.count("<|im_start|>") == whole.count("<|im_end|>") and "long long" in whole
+    assert transcripts.recover(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_toxicity_with_clashing_columns_and_contradicting_labels(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 9)) + (" vile hateful" if n % 4 == 0 else "") for n in range(120)]
+    docs = spark.createDataFrame([(n, t, 0, "y", 1) for n, t in enumerate(texts)], "doc_id long, text string, toxic int, y string, f int")
+    labels = [(n, int(n % 4 == 0), "p") for n in range(100)] + [(n, 0, "u") for n in range(0, 100, 4)]  # a document with both is toxic
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int, text string")).collect()}
+    assert len(got) == 120 and all(got[n].predicted == int(n % 4 == 0) for n in got) and sum(r.held_out for r in got.values()) > 10
