@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.research import lineage_levels
+from quillspark.operators import research as rs
 from quillspark.operators.retrieval import written
 
 # Record sets in the order in which a restore needs them, with the columns that identify a record.
@@ -41,6 +41,8 @@ REFERENCES = [
 # Sets whose records approvals and events are about, and those that the state's fingerprint covers.
 ENTITIES = ("research_question", "hypotheses", "evidence", "search_attempts", "experiments", "runs", "observations", "conclusions", "evidence_relations")
 STATE = ("research_question", "hypotheses", "evidence", "experiments", "runs", "observations", "conclusions")
+#: What an archive says about its records besides them: sealed with them, not restored.
+DESCRIPTIONS = ("evaluation", "conclusion_provenance", "report")
 
 Sets = dict[str, DataFrame]
 VIOLATION = "question string, set string, field string, value string"
@@ -80,6 +82,31 @@ def scoped(sets: Sets) -> Sets:
     return {n: out[n] for n in SETS if n in out}
 
 
+def descriptions(sets: Sets) -> Sets:
+    """Of scoped sets: each question's measures (metric, value), its conclusions' provenance, and its report, each as far as the sets have the columns."""
+    out: Sets = {}
+    have = lambda name, *columns: name in sets and set(columns) <= set(sets[name].columns)
+    links = all(n in sets for n in ("conclusions", "conclusion_evidence", "conclusion_observations", "observations", "observation_runs"))
+    if links:
+        named = {n: sets[n].drop("question") for n in ("conclusion_evidence", "conclusion_observations", "observation_runs")}
+        edges = rs.provenance_edges(named["conclusion_evidence"], named["conclusion_observations"], sets["observations"].select(F.col("id").alias("observation_id"), "experiment_id"), named["observation_runs"])
+        out["conclusion_provenance"] = edges.join(sets["conclusions"].select(F.col("id").alias("root"), "question"), "root")
+        linked = named["conclusion_evidence"].select(F.col("conclusion_id").alias("id")).union(named["conclusion_observations"].select("conclusion_id")).distinct().withColumn("linked", F.lit(True))
+        supported = sets["conclusions"].select("id", "question").join(linked, "id", "left")
+        measures = supported.groupBy("question").agg(rs.ratio(F.col("linked").isNotNull()).alias("value")).select("question", F.lit("supported_conclusions").alias("metric"), "value")
+        if have("search_attempts", "hypothesis_id", "intent"):
+            met = rs.contradiction_coverage(sets["search_attempts"].select("question", F.col("hypothesis_id").alias("hypothesis"), "intent"))
+            measures = measures.unionByName(met.select("question", F.lit("contradiction_coverage").alias("metric"), F.col("coverage").alias("value")))
+        if have("evidence", "evidence_type", "source_id", "chunk_id", "page", "section", "excerpt", "locator_kind"):
+            traced = rs.evidence_traceability(sets["evidence"].join(named["conclusion_evidence"].select(F.col("evidence_id").alias("id")), "id", "left_semi"))
+            measures = measures.unionByName(traced.select(F.col("research_question_id").cast("string").alias("question"), F.explode(F.create_map(F.lit("evidence_traceability"), "traceability", F.lit("citation_integrity"), "citation_integrity")).alias("metric", "value")))
+        out["evaluation"] = measures
+    if have("hypotheses", "title", "status") and have("conclusions", "text", "status") and have("evidence", "statement", "locator_prefix", "locator_label") and have("evidence_relations", "relation", "review_status"):
+        said = sets["evidence_relations"].select(F.col("hypothesis_id").alias("id"), "evidence_id", "relation", "review_status").join(sets["evidence"].select(F.col("id").alias("evidence_id"), "statement", F.col("locator_prefix").alias("prefix"), F.col("locator_label").alias("label")), "evidence_id")
+        out["report"] = rs.research_report(sets["hypotheses"].select("question", "id", "title", "status"), said, sets["conclusions"].select("question", "id", "text", "status"))
+    return out
+
+
 def set_hashes(sets: Sets) -> DataFrame:
     """(question, set, records, hash) by the hash tree: records in 256 groups, groups in a set."""
 
@@ -102,14 +129,14 @@ def roots(hashes: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
 
 
 def export(sets: Sets, path: str, questions: DataFrame | None = None) -> DataFrame:
-    """Write the archive of questions(question), or of all; returns its manifest (question, set, records, hash).
+    """Write the archive of questions(question), or of all, with its descriptions; returns its manifest (question, set, records, hash).
 
     A row of set `*` holds the seal over a question's sets, a row `state` its fingerprint.
     """
     found = scoped(sets)
     if questions is not None:
         found = {n: df.join(questions.select("question"), "question", "left_semi") for n, df in found.items()}
-    for name, df in found.items():
+    for name, df in (found | descriptions(found)).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = sets["research_question"].sparkSession
     manifest(read(spark, path)).write.mode("overwrite").parquet(f"{path}/manifest")
@@ -119,7 +146,7 @@ def export(sets: Sets, path: str, questions: DataFrame | None = None) -> DataFra
 def read(spark: SparkSession, path: str) -> Sets:
     """The record sets of an archive or of a version of a store."""
     out: Sets = {}
-    for name in SETS:
+    for name in (*SETS, *DESCRIPTIONS):
         try:
             out[name] = spark.read.parquet(f"{path}/{name}")
         except AnalysisException as e:
@@ -202,7 +229,7 @@ def restore(spark: SparkSession, path: str, store: str) -> tuple[int | None, Dat
         against.append(row(sets["research_question"].join(there["research_question"].select("question"), "question", "left_semi"), "question exists", F.col("id")))
     if "hypotheses" in sets and "parent_hypothesis_id" in sets["hypotheses"].columns:
         nodes = sets["hypotheses"].select(F.concat_ws("\x1f", "question", "id").alias("id"), F.when(F.coalesce("parent_hypothesis_id", F.lit("")) != "", F.concat_ws("\x1f", "question", "parent_hypothesis_id")).alias("parent"))
-        stuck = lineage_levels(spark, nodes).filter("level IS NULL").select(F.split("id", "\x1f")[0].alias("question"), F.split("id", "\x1f")[1].alias("id"))
+        stuck = rs.lineage_levels(spark, nodes).filter("level IS NULL").select(F.split("id", "\x1f")[0].alias("question"), F.split("id", "\x1f")[1].alias("id"))
         against.append(row(stuck, "lineage is cyclic or incomplete", F.col("id")))
     problems = written(_union(against), "problems")
     if problems.take(1):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import STOPWORDS, tokenize
-from quillspark.operators.retrieval import MAX_DF, Bm25Index, written
+from quillspark.operators.retrieval import MAX_DF, Bm25Index, bm25_index, written
 
 #: A new segment is built from all documents, instead of the changed ones, once tombstones name more than this share of what is stored.
 REBUILD_SHARE = 0.5
@@ -83,13 +83,14 @@ def update_index(docs: DataFrame, root: str) -> int:
     tokens = fresh.select("doc", "digest", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
     put = lambda df, name: df.write.mode("overwrite").parquet(f"{root}/{name}/segment={n}")
     put(gone, "tombstones")
-    put(tokens.select("doc", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")).repartition("term").sortWithinPartitions("term"), "postings")
+    put(tokens.select("doc", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"), "postings")  # ranges split a term that very many documents have
     postings = spark.read.parquet(f"{root}/postings/segment={n}")
     put(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     lengths = postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
     put(fresh.select("doc", "digest").join(lengths, "doc", "left").select("doc", "digest", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")), "held")
     live = live_documents(spark, root, doc_type, n).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
     live.select(F.lit(digest).alias("digest"), "docs", "tokens").write.mode("overwrite").parquet(f"{root}/snapshots/snapshot={n}")
+    diff.unpersist()
     return n
 
 
@@ -119,8 +120,6 @@ def shared_index(docs: DataFrame, doc: str, text: str) -> Bm25Index:
 
     It lies in the folder that spark.checkpoint.dir names, as one segment, or is persisted where that is unset.
     """
-    from quillspark.operators.retrieval import bm25_index
-
     spark = docs.sparkSession
     key = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", "") + snapshot_digest(docs, doc, text)
     if key not in _shared:

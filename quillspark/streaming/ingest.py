@@ -99,6 +99,8 @@ def ingest_batch(files: DataFrame, batch: int, store: str) -> None:
     papers_in = _put(judged, store, "papers", batch)
     counted = [refused.count(), *papers_in.agg(F.count_if(F.col("status") == "duplicate"), F.count_if(F.col("status") == "indexed")).first(), chunks_in.count()]
     _put(spark.createDataFrame([(counted[0] + counted[1] + counted[2], *counted)], SCHEMAS["ledger"].rpartition(", ")[0]), store, "ledger", batch)
+    for held in (checked, chunks, judged):
+        held.unpersist()
 
 
 def ingest_stream(files: DataFrame, store: str, checkpoint: str) -> StreamingQuery:

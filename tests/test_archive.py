@@ -56,6 +56,9 @@ def test_export_verify_restore(spark, tmp_path):
     manifest = {(r.question, r.set): r.records for r in ar.export(sets(spark), path, only).collect()}
     assert {q for q, _ in manifest} == {"q1"} and manifest["q1", "events"] == 2 and manifest["q1", "runs"] == 2
     assert ar.verify(spark, path).count() == 0
+    assert {(r.metric, r.value) for r in spark.read.parquet(f"{path}/evaluation").collect()} == {("supported_conclusions", 1.0)}
+    edges = {(r["from"], r["to"], r["type"]) for r in spark.read.parquet(f"{path}/conclusion_provenance").collect()}
+    assert edges == {("q1-c1", "q1-e1", "SUPPORTING"), ("q1-c1", "q1-o1", "OBSERVATION"), ("q1-o1", "q1-x1", "EXPERIMENT"), ("q1-x1", "q1-u1", "RUN")}
     version, problems = ar.restore(spark, path, store)
     assert version == 0 and problems.count() == 0
     assert ar.published(spark, store)["hypotheses"].count() == 3
@@ -76,6 +79,8 @@ def test_a_changed_archive_is_refused_and_leaves_nothing(spark, tmp_path):
     runs = spark.read.parquet(f"{path}/runs").withColumn("map", F.when(F.col("id") == "q2-u2", 0.9).otherwise(F.col("map")))
     spark.createDataFrame(runs.collect(), runs.schema).write.mode("overwrite").parquet(f"{path}/runs")
     assert {(r.question, r.set) for r in ar.verify(spark, path).collect()} == {("q2", "runs"), ("q2", "*"), ("q2", "state")}
+    spark.createDataFrame([("q2", "supported_conclusions", 0.1)], "question string, metric string, value double").write.mode("overwrite").parquet(f"{path}/evaluation")
+    assert {(r.question, r.set) for r in ar.verify(spark, path).collect()} >= {("q1", "evaluation"), ("q2", "evaluation"), ("q1", "*")}
     version, problems = ar.restore(spark, path, store)
     assert version is None and {r.problem for r in problems.collect()} == {"not as sealed"} and ar.published(spark, store) == {}
 
@@ -154,3 +159,16 @@ def test_conclusion_support(spark):
     e = spark.createDataFrame([("e1", "LITERATURE"), ("e2", "HUMAN_NOTE")], "evidence_id string, evidence_type string")
     o = spark.createDataFrame([("d", "o1")], "id string, observation_id string")
     assert sorted(map(tuple, rs.conclusion_support(c, links, e, o).collect())) == [("b", "only notes and hypotheses"), ("c", "no support")]
+
+
+def test_descriptions(spark):
+    made = ar.scoped(sets(spark))
+    h = made["hypotheses"].withColumns({"title": F.col("id"), "status": F.lit("SUPPORTED")})
+    c = made["conclusions"].withColumns({"text": F.lit("done"), "status": F.lit("APPROVED")})
+    e = made["evidence"].withColumns({"statement": F.lit("it works"), "locator_prefix": F.lit("p"), "locator_label": F.lit("3")})
+    r = made["evidence_relations"].withColumns({"relation": F.lit("SUPPORT"), "review_status": F.lit("CONFIRMED")})
+    a = made["search_attempts"].withColumns({"hypothesis_id": F.lit("h"), "intent": F.when(F.col("question") == "q1", "PRIMARY").otherwise("CONTRADICTION")})
+    got = ar.descriptions(made | {"hypotheses": h, "conclusions": c, "evidence": e, "evidence_relations": r, "search_attempts": a})
+    reports = {x.question: x.report for x in got["report"].collect()}
+    assert reports["q1"].startswith("## q1-h1 [SUPPORTED]\n### SUPPORT\n- it works (p.3)") and reports["q2"].endswith("## Conclusions\n- done")
+    assert {(x.question, x.metric, x.value) for x in got["evaluation"].collect()} == {("q1", "supported_conclusions", 1.0), ("q2", "supported_conclusions", 1.0), ("q1", "contradiction_coverage", 0.0)}
