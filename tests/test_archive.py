@@ -64,12 +64,13 @@ def test_export_verify_restore(spark, tmp_path):
     assert ar.published(spark, store)["hypotheses"].count() == 3
     assert [r.problem for r in ar.restore(spark, path, store)[1].collect()] == ["question exists"]
     second = str(tmp_path / "second")
-    ar.export(sets(spark), second, spark.createDataFrame([("q2",)], "question string"))
+    some = {n: df for n, df in sets(spark).items() if n in ("research_question", "hypotheses", "experiments", "runs")}
+    ar.export(some, second, spark.createDataFrame([("q2",)], "question string"))
     assert ar.restore(spark, second, store)[0] == 1
     assert ar.published(spark, store)["runs"].count() == 4
     # The state comes out of the store as it went in.
-    whole = ar.roots(ar.set_hashes(ar.scoped(sets(spark))), ar.STATE)
-    again = ar.roots(ar.set_hashes(ar.published(spark, store)), ar.STATE)
+    whole = ar.roots(ar.set_hashes(ar.scoped(some)), ar.STATE).filter("question = 'q2'")
+    again = ar.roots(ar.set_hashes({n: df for n, df in ar.published(spark, store).items() if n in some}), ar.STATE).filter("question = 'q2'")
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, again.collect()))
 
 
