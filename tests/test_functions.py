@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def test_tokens_and_grams(spark):
     assert one(spark, ["a"], lambda x: tx.token_ngrams(x, 2), "array<string>") == []
 
 
+def test_grams_of_a_text_take_one_tokenizing(spark):
+    grams = lambda n: lambda x: tx.token_ngrams(tx.tokenize(x), n)
+    began, words = time.monotonic(), [f"w{k}" for k in range(20_000)]
+    assert one(spark, " ".join(words), grams(3)) == [" ".join(words[k : k + 3]) for k in range(19_998)]
+    assert time.monotonic() - began < 30
+    assert one(spark, None, grams(2)) is None
+    assert [one(spark, t, grams(3)) for t in ("", "a b", "a b c")] == [[], [], ["a b c"]]
+
+
 @pytest.mark.parametrize(
     ("answer", "form"),
     [
