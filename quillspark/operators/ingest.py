@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import arxiv_id, derive_year, digit_share, normalize_typography
+from quillspark.functions.text import ARXIV, arxiv_id, derive_year, digit_share, normalize_typography
 
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_SECTION, BLOCK_SIZE, DUPLICATE_SHARE = 800, 150, 50, 1500, 0.5
 # Separators tried in this order.
@@ -171,10 +171,10 @@ def catalog_upsert(old: DataFrame, new: DataFrame, key: str = "source_file") ->
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_b"), *[F.desc(c) for c in old.columns if c != key]))).filter("_n = 1").drop("_b", "_n")
 
 
-def fill_blank(papers: DataFrame) -> DataFrame:
+def fill_blank(papers: DataFrame, form: str = ARXIV) -> DataFrame:
     """A missing year or external id is filled from the file's name and the title; what is there stays."""
-    found = F.coalesce(F.nullif("external_id", F.lit("")), arxiv_id("source_file"), arxiv_id("title"), F.col("external_id"))
-    return papers.withColumn("year", F.coalesce("year", derive_year("source_file", "title"))).withColumn("external_id", found)
+    found = F.coalesce(F.nullif("external_id", F.lit("")), arxiv_id("source_file", form), arxiv_id("title", form), F.col("external_id"))
+    return papers.withColumn("year", F.coalesce("year", derive_year("source_file", "title", form=form))).withColumn("external_id", found)
 
 
 def catalog_prune(papers: DataFrame, keep: DataFrame, prefix: str, key: str = "source_file") -> tuple[DataFrame, DataFrame]:
