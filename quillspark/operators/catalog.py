@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import STATUS_NAMES, derive_year
+from quillspark.functions.text import ARXIV, STATUS_NAMES, derive_year
 
 
 def list_papers(papers: DataFrame, year_from: int | None = None, author: str | None = None, collection: int | None = None, limit: int = 50) -> DataFrame:
@@ -47,10 +47,10 @@ def status_rollup(papers: DataFrame) -> DataFrame:
     return names.join(counts, "status", "left").select("name", F.coalesce("n", F.lit(0)).alias("papers"), F.coalesce("c", F.lit(0)).alias("chunks"))
 
 
-def paper_listing_text(papers: DataFrame, collection: int | None = None) -> DataFrame:
+def paper_listing_text(papers: DataFrame, collection: int | None = None, form: str = ARXIV) -> DataFrame:
     """C4: papers(id, title, source_file, year, venue, authors, chunk_count) as lines: the year of submission, venue and authors where there are any."""
     some = papers if collection is None else papers.filter(F.col("collection_id") == collection)
-    year = derive_year("source_file", "title", F.nullif("year", F.lit(0)))
+    year = derive_year("source_file", "title", F.nullif("year", F.lit(0)), form)
     given = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("| "), c))
     count = F.concat(F.lit("| "), F.coalesce("chunk_count", F.lit(0)).cast("string"), F.lit(" chunks indexed"))
     return some.select("id", F.concat_ws("  ", "title", F.concat(F.lit("("), year.cast("string"), F.lit(")")), given("venue"), given("authors"), count).alias("line"))
