@@ -21,9 +21,9 @@ def find_by_title(papers: DataFrame, keyword: str, limit: int = 5) -> DataFrame:
     return papers.filter(F.contains(F.lower("title"), F.lit(keyword.lower()))).orderBy("id").limit(limit)
 
 
-def papers_for_year(papers: DataFrame, year_from: int) -> DataFrame:
+def papers_for_year(papers: DataFrame, year_from: int, form: str = ARXIV) -> DataFrame:
     """Sources of that year or later; an unknown year is left out."""
-    return papers.withColumn("y", derive_year("source_file", "title", F.col("year"))).filter(F.col("y") >= year_from).select("source_file", F.col("y").alias("year"))
+    return papers.withColumn("y", derive_year("source_file", "title", F.col("year"), form)).filter(F.col("y") >= year_from).select("source_file", F.col("y").alias("year"))
 
 
 def allowed_sources(queries: DataFrame, *filters: DataFrame) -> DataFrame:

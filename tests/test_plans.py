@@ -20,7 +20,7 @@ def agrees(spark, folder, name, *tables):
     return sorted(map(tuple, found.select(*columns).collect()), key=repr) == sorted(wanted, key=repr)
 
 
-@pytest.mark.parametrize("name", ["filled_papers", "paper_lines"])
+@pytest.mark.parametrize("name", ["filled_papers", "papers_for_year", "paper_lines"])
 def test_papers_with_long_numbers(spark, tmp_path, name):
     rows = [(n, f"src{n % 3}", "de" if n % 2 else "en") for n in [*range(40), *range(99_980, 100_060), *range(1_234_560, 1_234_600)]]
     spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
