@@ -2,7 +2,7 @@
 
 An index is a folder. Nothing in it is ever changed; an update adds a segment and then a snapshot that counts it in:
 
-    postings/segment=n    term, doc, tf, dl          of the documents that were new or changed
+    postings/segment=n    doc, digest, dl, words, tfs  of the documents that were new or changed, a row each
     terms/segment=n       term, df                   of the same documents
     held/segment=n        doc, digest, dl            the same documents
     tombstones/segment=n  doc, dead                  documents of segment `dead` that changed or went away
@@ -18,8 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import STOPWORDS, tokenize
-from quillspark.operators.retrieval import MAX_DF, Bm25Index, bm25_index, written
+from quillspark.operators.retrieval import Bm25Index, bm25_index, counted_documents, weighted, written
 
 #: A new segment is built from all documents, instead of the changed ones, once tombstones name more than this share of what is stored.
 REBUILD_SHARE = 0.5
@@ -77,51 +76,54 @@ def update_index(docs: DataFrame, root: str) -> int:
     state = stored.select("doc", F.col("digest").alias("was"), "segment")
     diff = written(given.select("doc", "digest").join(state, "doc", "full_outer").filter(~F.col("digest").eqNullSafe(F.col("was"))), "diff")
     gone = diff.filter("segment IS NOT NULL").select("doc", F.col("segment").alias("dead"))
-    fresh = given.join(diff.filter("digest IS NOT NULL").select("doc"), "doc", "left_semi")
+    # Where nothing is stored all are new, and their texts stay where they lie.
+    fresh = given.join(diff.filter("digest IS NOT NULL").select("doc"), "doc", "left_semi") if last else given
     if last and gone.count() > REBUILD_SHARE * stored.count():
         gone, fresh = stored.select("doc", F.col("segment").alias("dead")), given
-    tokens = fresh.select("doc", "digest", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
     put = lambda df, name: df.write.mode("overwrite").parquet(f"{root}/{name}/segment={n}")
     put(gone, "tombstones")
-    put(tokens.select("doc", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"), "postings")  # ranges split a term that very many documents have
+    put(counted_documents(fresh), "postings")
     postings = spark.read.parquet(f"{root}/postings/segment={n}")
-    put(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-    lengths = postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    put(fresh.select("doc", "digest").join(lengths, "doc", "left").select("doc", "digest", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")), "held")
+    put(postings.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    put(postings.select("doc", "digest", "dl"), "held")
     live = live_documents(spark, root, doc_type, n).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
     live.select(F.lit(digest).alias("digest"), "docs", "tokens").write.mode("overwrite").parquet(f"{root}/snapshots/snapshot={n}")
     diff.unpersist()
     return n
 
 
-def read_index(spark: SparkSession, root: str, doc_type: str, snapshot: int | None = None) -> Bm25Index:
-    """The index as of a snapshot (the last): live postings, with frequencies and totals corrected by tombstones."""
+def read_index(spark: SparkSession, root: str, doc_type: str, snapshot: int | None = None, words: DataFrame | None = None) -> Bm25Index:
+    """The index as of a snapshot (the last): live postings, with frequencies and totals corrected by tombstones. With words(term) its terms are these alone."""
     last = latest_snapshot(spark, root)
     at = last["snapshot"] if snapshot is None else snapshot
     totals = last if at == last["snapshot"] else _table(spark, root, "snapshots", "digest string, docs long, tokens long", at).filter(F.col("snapshot") == at).first()
     dead = _table(spark, root, "tombstones", f"doc {doc_type}, dead int", at).select("doc", F.col("dead").alias("segment"))
-    postings = _table(spark, root, "postings", f"doc {doc_type}, term string, tf long, dl long", at)
-    lost = postings.join(dead, ["doc", "segment"], "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
-    df = _table(spark, root, "terms", "term string, df long", at).select("term", "df").unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-    n = totals["docs"]
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df.select("term", "df", idf.alias("idf"), ((F.col("df") / max(1, n) <= MAX_DF) & ~F.col("term").isin(STOPWORDS)).alias("kept"))
-    avgdl = totals["tokens"] / max(1, n)
-    live = postings.join(dead, ["doc", "segment"], "left_anti").select("doc", "term", "tf", "dl")
-    return Bm25Index(live, terms, n, avgdl if avgdl > 0 else 1.0)
+    documents = _table(spark, root, "postings", f"doc {doc_type}, dl long, words array<string>, tfs array<long>", at)
+    asked = lambda df: df if words is None else df.join(words.select("term").distinct(), "term", "left_semi")
+    lost = asked(documents.join(dead, ["doc", "segment"], "left_semi").select(F.explode("words").alias("term"))).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+    df = asked(_table(spark, root, "terms", "term string, df long", at).select("term", "df")).unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+    avgdl = totals["tokens"] / max(1, totals["docs"])
+    live = documents.join(dead, ["doc", "segment"], "left_anti").select("doc", "dl", "words", "tfs")
+    return Bm25Index(live, weighted(df, totals["docs"]), totals["docs"], avgdl if avgdl > 0 else 1.0)
 
 
 #: Indexes of this session by application and the digest of their documents.
 _shared: dict[tuple[str, str], Bm25Index] = {}
 
 
-def shared_index(docs: DataFrame, doc: str, text: str) -> Bm25Index:
-    """R1 for documents that were indexed before in this session: found by their digest, else built.
+def shared_index(docs: DataFrame, doc: str, text: str, words: DataFrame | None = None) -> Bm25Index:
+    """R1 for documents that were indexed before in this session: found by their digest, else built. With words(term) it may be of these terms alone.
 
     It lies in the folder that spark.checkpoint.dir names, as one segment, or is persisted where that is unset.
     """
     spark = docs.sparkSession
     key = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", "") + snapshot_digest(docs, doc, text)
+    if key in _shared or words is None:
+        if key not in _shared:
+            _shared[key] = bm25_index(docs, doc, text)
+        return _shared[key]
+    some = words.select("term").distinct()
+    key = key[0], f"{key[1]} {snapshot_digest(some, 'term', 'term')}"
     if key not in _shared:
-        _shared[key] = bm25_index(docs, doc, text)
+        _shared[key] = bm25_index(docs, doc, text, some)
     return _shared[key]

@@ -54,3 +54,26 @@ def test_shared_index(spark):
     a, b = frame(spark, [(n, text(n)) for n in range(9)]), frame(spark, [(n, text(n)) for n in reversed(range(9))])
     assert sg.shared_index(a, "doc", "text") is sg.shared_index(b, "doc", "text")
     assert sg.shared_index(a.filter("doc > 0"), "doc", "text") is not sg.shared_index(a, "doc", "text")
+
+
+@pytest.mark.parametrize("digits", [None, 9])
+def test_best_documents_are_those_of_all_scores(spark, monkeypatch, digits):
+    monkeypatch.setattr(rt, "CELLS", 30)
+    monkeypatch.setattr(rt, "ASKED", 4)
+    docs = [(n, text(n % 37) if n % 5 else "") for n in range(90)] + [(90, None), (91, "kiwi kiwi apple")]
+    queries = spark.createDataFrame([(1, "apple river w3"), (2, "tiger ocean cloud w7 w7"), (3, "kiwi w9 nothing"), (4, "absent"), (5, None)], "query_id int, q string")
+    monkeypatch.setattr(rt, "MAX_DF", 0.9)
+    index = rt.bm25_index(frame(spark, docs), "doc", "text")
+    asked = rt.bm25_index(frame(spark, docs), "doc", "text", rt.asked_terms(queries, "query_id", "q"))
+    every = sorted((r.query_id, -round(r.score, 9), r.doc) for r in rt.bm25_scores(index, queries, "query_id", "q").collect())
+    wanted = [x for q in range(1, 6) for x in [x for x in every if x[0] == q][:7]]
+    for of in (index, asked):
+        assert sorted((r.query_id, -round(r.score, 9), r.doc) for r in rt.bm25_best(of, queries, "query_id", "q", 7, digits).collect()) == wanted
+    assert asked.terms.count() < index.terms.count() and (asked.n, asked.avgdl) == (index.n, index.avgdl)
+
+
+def test_documents_are_counted_and_scored_without_a_shuffle(spark):
+    docs = frame(spark, [(1, "b a b"), (2, None)])
+    counted = rt.counted_documents(docs)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc, r.dl, sorted(zip(r.words, r.tfs, strict=True))) for r in counted.collect()) == [(1, 3, [("a", 1), ("b", 2)]), (2, 0, [])]
