@@ -128,8 +128,8 @@ def updated_index(t):
     root = shared_folder(spark, "index")
     segments.update_index(before.unionByName(docs.limit(0)), root)
     segments.update_index(docs, root)
-    index = segments.read_index(spark, root, dict(docs.dtypes)["doc"])
-    hits = rt.top(rt.bm25_scores(index, t.benchmark, "item_id", "text"), rt.DEPTH, F.round("score", 9).desc(), F.asc("doc"))
+    index = segments.read_index(spark, root, dict(docs.dtypes)["doc"], words=rt.asked_terms(t.benchmark, "item_id", "text"))
+    hits = rt.bm25_best(index, t.benchmark, "item_id", "text", digits=9)
     return hits.select("query_id", "doc", "rank", F.round("score", 6).alias("score"))
 
 
