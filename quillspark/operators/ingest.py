@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import ARXIV, arxiv_id, derive_year, digit_share, normalize_typography
+from quillspark.operators.retrieval import written
 
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_SECTION, BLOCK_SIZE, DUPLICATE_SHARE = 800, 150, 50, 1500, 0.5
 # Separators tried in this order.
@@ -119,7 +120,9 @@ def containment(keys: DataFrame, other: DataFrame, least: float = 0.0) -> DataFr
     With `least` only shares of that much are looked for: such an owner has one at least of the source's rarest
     keys, so keys that very many sources hold propose no pairs.
     """
-    a, b = keys.distinct(), other.select(F.col("source").alias("owner"), "content_key").distinct()
+    # Keys that are costly to make are made once.
+    a = written(keys.select("source", "content_key").distinct(), "keys")
+    b = (a if other is keys else written(other.select("source", "content_key").distinct(), "others")).withColumnRenamed("source", "owner")
     n = a.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if least > 0:
         held = b.groupBy("content_key").agg(F.count(F.lit(1)).alias("df"))

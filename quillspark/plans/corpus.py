@@ -22,7 +22,8 @@ def _keys(t):
 SELECT a.source, b.source AS owner, count(*) AS shared, n.n, round(count(*) / n.n, 6) AS ratio FROM k a JOIN k b ON a.k = b.k AND a.source <> b.source JOIN n ON n.source = a.source GROUP BY a.source, b.source, n.n""")
 def source_containment(t):
     """Contents that sources share."""
-    return ingest.containment(_keys(t), _keys(t)).withColumn("ratio", F.round("ratio", 6))
+    keys = _keys(t)
+    return ingest.containment(keys, keys).withColumn("ratio", F.round("ratio", 6))
 
 
 @query()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillspark.operators import ingest
 from quillspark.plans import ORACLE_SQL, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
@@ -25,3 +27,20 @@ def test_papers_with_long_numbers(spark, tmp_path, name):
     rows = [(n, f"src{n % 3}", "de" if n % 2 else "en") for n in [*range(40), *range(99_980, 100_060), *range(1_234_560, 1_234_600)]]
     spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert agrees(spark, tmp_path, name, "documents")
+
+
+def counted(spark, df, column):
+    """df whose column is made by a function that counts its calls, and the counter."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        calls.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(same, "string")(column)), calls
+
+
+def test_keys_of_sources_are_made_once(spark):
+    keys, calls = counted(spark, spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("b", "3"), ("c", "4")], "source string, content_key string"), "content_key")
+    found = sorted((r.source, r.owner, r.shared, r.n, r.ratio) for r in ingest.containment(keys, keys).collect())
+    assert found == [("a", "b", 1, 2, 0.5), ("b", "a", 1, 2, 0.5)] and calls.value == 5
