@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import norm_for_match
 from quillspark.operators.evaluate import ceiling_verdict
-from quillspark.operators.retrieval import AMBIGUOUS, CONTEXT_CAP, DEPTH, REJECT, Bm25Index, bm25_scores, content_dedupe, context_neighbors, hybrid_search, rerank, top, vector_topk
+from quillspark.operators.retrieval import AMBIGUOUS, CONTEXT_CAP, DEPTH, REJECT, Bm25Index, bm25_best, bm25_scores, content_dedupe, context_neighbors, hybrid_search, rerank, top, vector_topk, written
 
 #: Candidates asked of the fused lists for each that is kept after equal contents are folded.
 OVERFETCH, CANDIDATES = 3, 10
@@ -21,12 +21,13 @@ def fused(queries: DataFrame, items: DataFrame, index: Bm25Index, limit: int, al
     allowed(query_id, source) keeps items out of the vector scan before, and out of the keyword list after scoring,
     whose statistics are the whole corpus's. Keyword scores that differ by rounding alone are ties.
     """
-    vector = vector_topk(queries.select("query_id", "v"), items.select("doc", "v", "source"), allowed=allowed)
-    scores = bm25_scores(index, queries, "query_id", "text")
-    if allowed is not None:
-        scores = scores.join(items.select("doc", "source"), "doc").join(allowed, ["query_id", "source"], "left_semi").drop("source")
-    keyword = top(scores, DEPTH, F.round("score", 9).desc(), F.asc("doc"))
-    return hybrid_search(vector, keyword, limit), vector
+    vector = written(vector_topk(queries.select("query_id", "v"), items.select("doc", "v", "source"), allowed=allowed), "vector")
+    if allowed is None:
+        keyword = bm25_best(index, queries, "query_id", "text", digits=9)
+    else:
+        scores = bm25_scores(index, queries, "query_id", "text").join(items.select("doc", "source"), "doc").join(allowed, ["query_id", "source"], "left_semi").drop("source")
+        keyword = top(scores, DEPTH, F.round("score", 9).desc(), F.asc("doc"))
+    return written(hybrid_search(vector, keyword, limit), "pool"), vector
 
 
 def retrieve(queries: DataFrame, items: DataFrame, index: Bm25Index, allowed: DataFrame | None = None, candidates: int = CANDIDATES, top_n: int = CANDIDATES, score: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +39,7 @@ def retrieve(queries: DataFrame, items: DataFrame, index: Bm25Index, allowed: Da
     rejected, ambiguous.
     """
     pool, vector = fused(queries, items, index, candidates * OVERFETCH, allowed)
-    kept = content_dedupe(pool.join(items.select("doc", "content_key"), "doc"), candidates)
+    kept = written(content_dedupe(pool.join(items.select("doc", "content_key"), "doc"), candidates), "kept")
     first = vector.filter("rank = 1").select("query_id", F.col("score").alias("top1"))
     some = kept.select("query_id").distinct().withColumn("some", F.lit(True))
     t = F.coalesce("top1", F.lit(0.0))
@@ -84,7 +85,9 @@ def anchor_layers(anchors: DataFrame, pool: DataFrame, hits: DataFrame, outcomes
     """
     layers = pool.select("query_id", "doc", F.lit("pool").alias("layer"), "rank").unionByName(hits.select("query_id", "doc", F.lit("prod").alias("layer"), "rank"))
     asked = anchors.select("query_id", "item", "anchor", "form", norm_for_match("anchor").alias("needle"))
-    met = layers.join(texts.select("doc", norm_for_match("text").alias("norm")), "doc").join(asked, "query_id").filter(F.contains("norm", "needle"))
+    layers = written(layers, "layers")  # so that its size is known, and texts stay where they lie
+    held = written(texts.join(layers.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), "texts")
+    met = layers.join(held.select("doc", norm_for_match("text").alias("norm")), "doc").join(asked, "query_id").filter(F.contains("norm", "needle"))
     at = lambda layer: F.min(F.when(F.col("layer") == layer, F.col("rank"))).alias(f"{layer}_rank")
     ranks = met.groupBy("item", "anchor", "form").agg(at("pool"), at("prod"))
     return anchors.join(ranks, ["item", "anchor", "form"], "left").join(outcomes.select("query_id", "rejected", "vector_top1"), "query_id", "left").select("item", "anchor", "form", "pool_rank", "prod_rank", F.coalesce("rejected", F.lit(True)).alias("rejected"), F.coalesce("vector_top1", F.lit(0.0)).alias("vector_top1"))

@@ -44,7 +44,8 @@ def _items(t):
     """Documents with a vector as the chunks of their source, in the order of their numbers."""
     ids = t.documents.select("doc_id", "source").join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id")
     placed = ids.withColumn("chunk_ord", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return rt.with_content_key(placed.join(t.documents.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "doc"), "text")
+    # Written, since each later use would join the texts and make their keys anew.
+    return rt.written(rt.with_content_key(placed.join(t.documents.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "doc"), "text"), "items")
 
 
 def _questions(t):
@@ -62,7 +63,7 @@ def filtered_chain(t):
     d = t.documents.select("lang", (F.col("doc_id") % 7).alias("r"), "source").distinct()
     allowed = a.withColumn("r", F.col("query_id") % 7).join(d, ["lang", "r"]).select("query_id", "source").distinct()
     items = _items(t)
-    hits, _ = chain.retrieve(_questions(t), items, segments.shared_index(items, "doc", "text"), allowed)
+    hits, _ = chain.retrieve(_questions(t), items, segments.shared_index(items, "doc", "text", rt.asked_terms(t.benchmark, "item_id", "text")), allowed)
     return hits.select("query_id", "rank", "doc", "origin", F.round("vector_score", 6).alias("vector_score"))
 
 
@@ -78,7 +79,7 @@ def _layers(t):
     items, asked = _items(t), _questions(t)
     anchor = F.substring("text", 12, 24)
     forms = asked.select((-1 - F.col("query_id")).alias("query_id"), F.col("query_id").alias("item"), F.lit("anchor").alias("form"), anchor.alias("text"), anchor.alias("anchor"), "v").unionByName(asked.select("query_id", F.col("query_id").alias("item"), F.lit("question").alias("form"), "text", anchor.alias("anchor"), "v"))
-    index = segments.shared_index(items, "doc", "text")
+    index = segments.shared_index(items, "doc", "text", rt.asked_terms(forms, "query_id", "text"))
     pool, _ = chain.fused(forms, items, index, chain.CANDIDATES * chain.OVERFETCH)
     hits, outcomes = chain.retrieve(forms, items, index)
     return chain.anchor_layers(forms.select("query_id", "item", "anchor", "form"), pool, hits, outcomes, items), items

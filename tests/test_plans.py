@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import evaluate, ingest
-from quillspark.plans import ORACLE_SQL, QUERIES
+from quillspark.plans import ORACLE_SQL, QUERIES, chains
+from quillspark.plans.registry import Tables
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -56,3 +57,11 @@ def test_texts_of_questions_are_prepared_once(spark):
     wanted = [(i, e.eval_id, round(s, 9)) for i, t in rows for e in evals.collect() if (s := like(form(t), form(e.text))) >= 0.6]
     assert sorted((r.id, r.eval_id, round(r.similarity, 9)) for r in evaluate.leak_pairs(questions, evals).collect()) == wanted and len(wanted) > 3
     assert calls.value == len(rows)
+
+
+def test_items_of_the_chain_are_joined_with_their_texts_once(spark, tmp_path):
+    spark.createDataFrame([(n, f"src{n % 2}", f"text {n}") for n in range(6)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, [1.0 * n]) for n in range(1, 5)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    items = chains._items(Tables(spark, str(tmp_path)))
+    assert "Join" not in items._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc, r.source, r.chunk_ord, r.text) for r in items.collect()) == [(1, "src1", 1, "text 1"), (2, "src0", 1, "text 2"), (3, "src1", 2, "text 3"), (4, "src0", 2, "text 4")]
