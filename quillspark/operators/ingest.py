@@ -14,16 +14,14 @@ from quillspark.operators.retrieval import written
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_SECTION, BLOCK_SIZE, DUPLICATE_SHARE = 800, 150, 50, 1500, 0.5
 # Separators tried in this order.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+# The end of a line before one that matches ^#{1,6}\s+.*$ by itself.
+HEADING = r"\n(?=#{1,6}[\s&&[^\n]]+[^\n\r\u0085\u2028\u2029]*[\r\u0085\u2028\u2029]?(?:\n|\z))"
 
 
 def sections_markdown(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """A section begins at a heading unless nothing but headings' buffers came before; blank ones go after numbering."""
-    lines = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    order = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.col("line").rlike(r"^#{1,6}\s+.*$") & (F.col("pos") > 0)
-    numbered = lines.withColumn("section_no", F.sum(begins.cast("int")).over(order) + 1)
-    parts = numbered.groupBy("doc", "section_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return parts.filter(F.trim(F.regexp_replace("text", r"\s", "")) != "").select("doc", F.col("section_no").cast("int").alias("section_no"), F.col("section_no").cast("string").alias("label"), "text", F.lit("section").alias("kind"))
+    parts = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(text, HEADING)).alias("pos", "text")).withColumn("section_no", F.col("pos") + 1)
+    return parts.filter(F.trim(F.regexp_replace("text", r"\s+", "")) != "").select("doc", "section_no", F.col("section_no").cast("string").alias("label"), "text", F.lit("section").alias("kind"))
 
 
 def sections_text(docs: DataFrame, doc: str, text: str, size: int = BLOCK_SIZE) -> DataFrame:

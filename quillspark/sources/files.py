@@ -34,7 +34,7 @@ def file_reason(extension: Column, length: Column, content: Column) -> Column:
     magic = F.create_map(*[F.lit(x) for e, _, _, m in FORMATS for x in (e, m)])
     wanted = F.try_element_at(magic, extension)
     head = F.substring(content, 1, 4096)
-    binary = F.hex(head).rlike("^(..)*?00") & extension.isin([e for e, _, _, m in FORMATS if not m])
+    binary = F.contains(head, F.lit(b"\x00")) & extension.isin([e for e, _, _, m in FORMATS if not m])
     starts = F.hex(F.substring(content, 1, 5)).startswith(F.hex(wanted))
     return F.when(wanted.isNull(), "unsupported_extension").when(length > MAX_BYTES, "too_large").when((F.length(wanted) > 0) & ~starts, "bad_magic").when(binary, "binary_text").otherwise("")
 

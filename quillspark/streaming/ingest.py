@@ -70,12 +70,16 @@ def ingest_batch(files: DataFrame, batch: int, store: str) -> None:
     if table(spark, store, "ledger").filter(F.col("batch") == batch).take(1):
         return
     named = files.withColumn("source", F.regexp_extract("path", r"([^/]*)$", 1)).withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+    # Only what comes more than once is put in order; the other files stay where they lie.
+    several = written(named.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("source"), "several")
     latest = Window.partitionBy("source").orderBy(F.desc("modificationTime"), F.desc("path"), F.desc(F.xxhash64("content")))
-    fresh = named.withColumn("n", F.row_number().over(latest)).filter("n = 1")
-    checked = written(fresh.select("path", "source", "extension", "content", file_reason(F.col("extension"), F.col("length"), F.col("content")).alias("reason")), "checked")
+    last = named.join(several, "source", "left_semi").withColumn("n", F.row_number().over(latest)).filter("n = 1").drop("n")
+    fresh = named.join(several, "source", "left_anti").unionByName(last)
+    readable = F.col("extension").isin(MARKDOWN + TEXT)
+    judged = fresh.select("path", "source", "extension", "content", file_reason(F.col("extension"), F.col("length"), F.col("content")).alias("reason"))
+    checked = written(judged.withColumn("content", F.when(readable & (F.col("reason") == ""), F.col("content"))), "checked")  # only contents that are read on
     text = F.decode("content", "UTF-8")
     good = checked.filter("reason = ''")
-    readable = F.col("extension").isin(MARKDOWN + TEXT)
     bad = checked.filter("reason <> ''").select("path", "source", "reason").unionByName(good.filter(~readable).select("path", "source", F.lit("no_decoder").alias("reason")))
     refused = _put(bad, store, "refused", batch)
     texts = good.filter(readable).select("source", "path", "extension", text.alias("text"))
@@ -94,12 +98,12 @@ def ingest_batch(files: DataFrame, batch: int, store: str) -> None:
     judged = written(judged.select("source", "path", status.alias("status"), owner.alias("owner"), F.when(owner.isNull(), F.coalesce("chunk_count", F.lit(0))).otherwise(0).cast("long").alias("chunk_count")), "judged")
     prefix = F.when(F.lower(F.col("source")).rlike(r"\.(md|markdown)$"), "sec").otherwise("blk")
     kept = chunks.join(judged.filter("status = 'indexed'").select("source"), "source", "left_semi")
-    kept = kept.withColumn("chunk_id", chunk_id(F.col("source"), prefix, F.col("section_no").cast("string"), F.col("content"), F.col("chunk_index")))
+    kept = kept.withColumn("chunk_id", chunk_id(F.col("source"), prefix, F.col("section_no").cast("string"), F.col("content"), F.col("chunk_index"), F.col("content_key")))
     chunks_in = _put(kept.withColumn("section_no", F.col("section_no").cast("int")), store, "chunks", batch)
     papers_in = _put(judged, store, "papers", batch)
     counted = [refused.count(), *papers_in.agg(F.count_if(F.col("status") == "duplicate"), F.count_if(F.col("status") == "indexed")).first(), chunks_in.count()]
     _put(spark.createDataFrame([(counted[0] + counted[1] + counted[2], *counted)], SCHEMAS["ledger"].rpartition(", ")[0]), store, "ledger", batch)
-    for held in (checked, chunks, judged):
+    for held in (several, checked, chunks, judged):
         held.unpersist()
 
 
