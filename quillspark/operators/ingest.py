@@ -142,11 +142,18 @@ def batch_duplicates(keys: DataFrame, least: float = DUPLICATE_SHARE, checkpoint
     """In the order of sources, a source is a duplicate of the first kept earlier one that holds half its keys.
 
     Rounds: a source all of whose earlier holders are dropped is kept, one with a kept earlier holder is
-    dropped; each round settles the earliest unsettled sources. Returns source, owner (null: kept).
+    dropped; each round settles the earliest unsettled sources. Sources with the same keys have the same holders, so
+    of these only the first goes through the rounds, and the others follow it: copies make no pairs with each other.
+    Returns source, owner (null: kept).
     """
-    held = containment(keys, keys, least).filter(F.col("owner") < F.col("source")).select("source", "owner")
-    settled = keys.select("source").distinct().join(held.select("source"), "source", "left_anti").select("source", F.lit(None).cast(dict(keys.dtypes)["source"]).alias("kept_by"))
-    open_ = checkpoint(held)
+    keyed = F.sha2(F.to_json(F.sort_array(F.collect_set("content_key"))), 256)
+    sets = checkpoint(keys.groupBy("source").agg(F.when(F.count("content_key") == F.count(F.lit(1)), keyed).otherwise(F.concat(F.lit("null, "), F.col("source").cast("string"))).alias("set")))
+    firsts = sets.groupBy("set").agg(F.min("source").alias("first"))
+    members = checkpoint(sets.join(firsts, "set").select("source", "first"))
+    keys = keys.join(members.filter("source = first").select("source"), "source", "left_semi")
+    held = checkpoint(containment(keys, keys, least).filter(F.col("owner") < F.col("source")).select("source", "owner"))
+    settled = members.filter("source = first").select("source").distinct().join(held.select("source"), "source", "left_anti").select("source", F.lit(None).cast(dict(keys.dtypes)["source"]).alias("kept_by"))
+    open_ = held
     while open_.take(1):
         kept, gone = settled.filter("kept_by IS NULL").select(F.col("source").alias("owner")), settled.filter("kept_by IS NOT NULL").select(F.col("source").alias("owner"))
         left = open_.join(gone, "owner", "left_anti")
@@ -157,7 +164,8 @@ def batch_duplicates(keys: DataFrame, least: float = DUPLICATE_SHARE, checkpoint
         free = open_.select("source").distinct().join(left.select("source"), "source", "left_anti").select("source", F.lit(None).cast(dict(keys.dtypes)["source"]).alias("kept_by"))
         settled = checkpoint(settled.unionByName(dropped.select("source", "kept_by")).unionByName(free))
         open_ = checkpoint(left.join(settled.select("source"), "source", "left_anti"))
-    return settled.select("source", F.col("kept_by").alias("owner"))
+    of = settled.select(F.col("source").alias("first"), "kept_by")
+    return members.join(of, "first").select("source", F.coalesce("kept_by", F.when(F.col("source") != F.col("first"), F.col("first"))).alias("owner"))
 
 
 def library_owner(new: DataFrame, library: DataFrame, least: float = DUPLICATE_SHARE) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import chunk_id, digit_share, norm_for_match
+from quillspark.operators import ingest as steps
 from quillspark.operators.ingest import sections_markdown
 from quillspark.sources.files import file_reason
 from quillspark.streaming import ingest
@@ -53,3 +55,19 @@ def test_zero_bytes_and_normal_forms(spark):
     out = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(norm_for_match("t"), digit_share("t")).collect()]
     assert [r[0] for r in out] == ["a b c d e f", "1234", "fi-----—", "a b", "", "٣٤"]
     assert [r[1] for r in out] == [0.0, 4 / 9, 0.0, 0.0, 0.0, 2 / 3]
+
+
+def test_copies_follow_their_first_and_make_no_pairs(spark, monkeypatch):
+    rand = random.Random(4)
+    sets = [sorted(rand.sample("abcdef", rand.randrange(1, 4))) for _ in range(12)]
+    given = {n: sets[rand.randrange(12)] for n in range(40)}
+    keys = spark.createDataFrame([(n, k) for n, ks in given.items() for k in ks] + [(90, None), (91, None)], "source int, content_key string")
+    want = {90: None, 91: None}
+    for n, ks in given.items():
+        want[n] = min((o for o in range(n) if want[o] is None and 2 * len(set(ks) & set(given[o])) >= len(ks)), default=None)
+    asked = []
+    whole = steps.containment
+    monkeypatch.setattr(steps, "containment", lambda a, b, least: asked.append(a.select("source").distinct().count()) or whole(a, b, least))
+    found = steps.batch_duplicates(keys, checkpoint=lambda df: df.localCheckpoint())
+    assert {r.source: r.owner for r in found.collect()} == want
+    assert asked == [len({tuple(ks) for ks in given.values()}) + 2]
